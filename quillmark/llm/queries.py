@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmark.llm import chat, mixing, toxicity
 from quillmark.llm.bitplanes import read_ids, write_ids
 from quillmark.llm.chunk_bpe import bpe_round_trip
+from quillmark.llm.jaccard_join import jaccard_components
 from quillmark.llm.ogg import ogg_column, ogg_features
 
 
@@ -28,6 +29,10 @@ def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op3_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
@@ -51,7 +56,7 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bitplane_ids, op4_mix_sources, op5_ogg, op8_toxicity, op9_chat_snapshots, op10_chunk_bpe)}
+    return {f.__name__: f for f in (op2_bitplane_ids, op3_jaccard_rtree, op4_mix_sources, op5_ogg, op8_toxicity, op9_chat_snapshots, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

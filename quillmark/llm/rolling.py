@@ -6,7 +6,7 @@ import numpy as np
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit mixer (splitmix64's finaliser)."""
+    """A bijective 64-bit mixer (splitmix64's finaliser); arrays only, their arithmetic wraps around."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
