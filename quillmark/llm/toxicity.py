@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bound on labelled rows that are fitted on, on features, and the weight of the L2 and the counterfactual terms.
-ROWS, FEATURES, RIDGE, SWAP = 6000, 1000, 1.0, 10.0
-#: Least chi-square of a feature: beyond chance even among a million words.
-CHI2 = 45.0
+ROWS, FEATURES, RIDGE, SWAP = 6000, 1000, 0.003, 10.0
+#: Least chi-square of a feature: beyond chance even among a million words, and this share of the strongest feature's
+#: (words of one copied text can pass the first bar together).
+CHI2, SHARE = 45.0, 0.15
 FOLDS, HELD_OUT = 5, 0
 # Group names that are swapped for one another in training.
 IDENTITY = (
@@ -67,7 +68,8 @@ def fit(words: pa.ListArray, labels: np.ndarray, features: int = FEATURES, ridge
         chi2 = np.nan_to_num((hit - expected) ** 2 / expected + (hit - expected) ** 2 / (seen - expected)) / np.maximum(1 - seen / n, 1e-9)
     named = pc.is_in(vocabulary, value_set=pa.array(IDENTITY)).to_numpy(zero_copy_only=False)
     order = np.lexsort((pc.rank(vocabulary).to_numpy(), -chi2))  # equal values by the word
-    chosen = [k for k in order[:features] if chi2[k] >= CHI2 and not named[k]] + [k for k in order if named[k]]
+    least = max(CHI2, SHARE * chi2.max(initial=0))
+    chosen = [k for k in order[:features] if chi2[k] >= least and not named[k]] + [k for k in order if named[k]]
     place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
     d = len(chosen)
@@ -122,9 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
     # ``sample`` has at most ``rows`` rows, so it can be sent to every executor.
     found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, words array<string>").toArrow()
-    found = found.combine_chunks().sort_by("doc_id").combine_chunks()
     if not found.num_rows:
         return fit(pa.array([], pa.list_(pa.string())), np.zeros(0))
+    # copies of a text with one label count once
+    found = found.sort_by("doc_id")
+    texts_ = pc.dictionary_encode(pc.binary_join(found.column("words"), " ").combine_chunks()).indices.to_numpy()
+    _, once = np.unique(texts_ * 2 + (found.column("toxic").to_numpy() > 0), return_index=True)
+    found = found.take(pa.array(np.sort(once)))
     words = found.column("words").combine_chunks()
     words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
     return fit(words, (found.column("toxic").to_numpy() > 0).astype(float))
