@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillmark.llm import chat, mixing, toxicity
 from quillmark.llm.bitplanes import read_ids, write_ids
 from quillmark.llm.chunk_bpe import bpe_round_trip
+from quillmark.llm.chunk_dedup import dedup_substrings
+from quillmark.llm.imatch import fingerprints
 from quillmark.llm.jaccard_join import jaccard_components
 from quillmark.llm.ogg import ogg_column, ogg_features
 
@@ -41,6 +43,14 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_features(ogg_column(_table(spark, sf_dir, "documents")))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -56,7 +66,7 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bitplane_ids, op3_jaccard_rtree, op4_mix_sources, op5_ogg, op8_toxicity, op9_chat_snapshots, op10_chunk_bpe)}
+    return {f.__name__: f for f in (op2_bitplane_ids, op3_jaccard_rtree, op4_mix_sources, op5_ogg, op6_imatch, op7_chunk_dedup, op8_toxicity, op9_chat_snapshots, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
