@@ -11,6 +11,7 @@ from quillmark.llm import chat, mixing, toxicity
 from quillmark.llm.bitplanes import read_ids, write_ids
 from quillmark.llm.chunk_bpe import bpe_round_trip
 from quillmark.llm.chunk_dedup import dedup_substrings
+from quillmark.llm.html_extract import extract_pages
 from quillmark.llm.imatch import fingerprints
 from quillmark.llm.jaccard_join import jaccard_components
 from quillmark.llm.ogg import ogg_column, ogg_features
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -66,7 +71,7 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bitplane_ids, op3_jaccard_rtree, op4_mix_sources, op5_ogg, op6_imatch, op7_chunk_dedup, op8_toxicity, op9_chat_snapshots, op10_chunk_bpe)}
+    return {f.__name__: f for f in (op1_html_trees, op2_bitplane_ids, op3_jaccard_rtree, op4_mix_sources, op5_ogg, op6_imatch, op7_chunk_dedup, op8_toxicity, op9_chat_snapshots, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
