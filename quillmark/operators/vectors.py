@@ -75,7 +75,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosin
             ids, own = batch.column(0).to_numpy(), _matrix(batch.column(1))
             new_d, new_i = [], []
             for at in range(0, len(names), BLOCK):
-                d = np.round(_distances(matrix[at : at + BLOCK], own, metric), 9)
+                d = np.round(_distances(matrix[at : at + BLOCK], own, metric), 9) + 0.0  # no negative zero
                 i = np.broadcast_to(ids, d.shape)
                 d, i = np.concatenate([best_d[at : at + BLOCK], d], 1), np.concatenate([best_i[at : at + BLOCK], i], 1)
                 order = np.lexsort((i, d), axis=1)[:, :k]

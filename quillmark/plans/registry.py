@@ -94,7 +94,7 @@ def bm25_filtered_topk(spark, d):
     return bm25.search_corpus(_docs(spark, d), _questions(spark, d), 10, ok).select("query_id", "rank", "doc_ord", F.round("score", 6).alias("score"))
 
 
-_DIST = "round(1 - list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 9)"
+_DIST = "round(1 - list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 9) + 0::DOUBLE"
 
 
 def _knn_sql(k: int, where: str = "TRUE") -> str:
@@ -118,7 +118,7 @@ def knn_filtered(spark, d):
     return _near(vectors.knn(_t(spark, d, "embeddings"), _asked(spark, d), 5, condition=ok))
 
 
-@_query(_knn_sql(5).replace(_DIST, "round(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) + list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) - 2 * list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9)"))
+@_query(_knn_sql(5).replace(_DIST, "round(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) + list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) - 2 * list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) + 0::DOUBLE"))
 def knn_l2_topk(spark, d):
     return _near(vectors.knn(_t(spark, d, "embeddings"), _asked(spark, d), 5, "l2"))
 
@@ -580,7 +580,7 @@ def _evaluations(spark, d) -> DataFrame:
     return rows
 
 
-@_query(f"WITH {CHUNKS} SELECT query_id, ord, '1000' || pmid AS pmid FROM (SELECT *, max((ord % 3 = 0 AND length('1000' || pmid) BETWEEN 4 AND 9)::INT) OVER (PARTITION BY query_id) AS some FROM chunks) WHERE some = 0 OR ord % 3 = 0")
+@_query(f"WITH {CHUNKS} SELECT query_id, ord, '1000' || pmid AS pmid FROM (SELECT *, max((ord % 3 = 0 AND length('1000' || pmid) BETWEEN 4 AND 9)::INT) OVER (PARTITION BY query_id) AS has_good FROM chunks) WHERE has_good = 0 OR ord % 3 = 0")
 def evidence_filter(spark, d):
     chunks = _chunks(spark, d).withColumn("pmid", F.concat(F.lit("1000"), F.col("pmid")))
     return generate.filter_by_evaluation(chunks, _evaluations(spark, d)).select("query_id", "ord", "pmid")
