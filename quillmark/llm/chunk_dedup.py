@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking.
 
-Texts are cut after words whose 16-bit gear rolling hash (over the last 16 bytes) is low, on average every ``EVERY`` words,
-so a passage is cut alike wherever it stands and an insertion shifts no later cut.  Chunks are named by a digest of their
+Texts are cut after words whose 16-bit gear rolling hash (over the last 16 bytes) is the least among the ``REACH`` words on
+either side, on average every ``2 * REACH + 1`` words, so a passage is cut alike wherever it stands, an insertion shifts no
+later cut, and long stretches without a cut hardly occur.  Chunks are named by a digest of their
 words.  Of every digest the first occurrence (smallest doc_id, then place) stays; runs of later occurrences that together
 have ``RUN`` words or more are cut out of their texts.
 
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from quillmark.llm.rolling import _mix, gear16
 from quillmark.llm.shingles import _powers, grouped, raw_texts, word_hashes
 
-EVERY, RUN = 5, 16
+REACH, RUN = 2, 16
 #: Rows that a task settles at once.
 HELD = 2_000_000
 _GAP = b" " * 16
@@ -27,15 +28,25 @@ _PLACE = _powers(4096)
 _LAST = np.iinfo(np.int64).max
 
 
-def chunks(texts: list[bytes], every: int = EVERY):
+def _least(h: np.ndarray, text: np.ndarray, reach: int) -> np.ndarray:
+    """Words whose hash is the least among ``reach`` words of their text on either side (of equal ones the first)."""
+    out = np.ones(len(h), bool)
+    for step in range(1, reach + 1):
+        near = text[step:] == text[:-step]
+        out[step:] &= ~near | (h[step:] < h[:-step])
+        out[:-step] &= ~near | (h[:-step] <= h[step:])
+    return out
+
+
+def chunks(texts: list[bytes], reach: int = REACH):
     """For every text: digests, byte starts and word counts of its chunks, and a 20-bit tag of the text."""
     for lo, hi in grouped(texts):
         part = texts[lo:hi]
         raw = np.frombuffer(_GAP + _GAP.join(part), np.uint8)
         begin = np.cumsum([16, *(len(t) + 16 for t in part)])
         hashes, starts, ends = word_hashes(raw, lower=False)
-        cut = gear16(raw)[ends - 1] < 65536 // every if len(ends) else np.empty(0, bool)
         bound = np.searchsorted(starts, begin)
+        cut = _least(gear16(raw)[ends - 1], np.repeat(np.arange(len(part)), np.diff(bound)), reach)
         for k, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
             if a == b:
                 yield np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), 0
@@ -59,7 +70,7 @@ def _repeats(digest, doc, place):
     return digest, doc, place, first
 
 
-def repeated_chunks(docs: DataFrame, every: int = EVERY) -> DataFrame:
+def repeated_chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``q_doc, q_place``: every chunk that is not the first of its digest.  ``q_place`` has the chunk's number below
     bit 40 and a tag of the text above it (rows may repeat a doc_id); a null doc_id counts as the largest."""
 
@@ -67,7 +78,7 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
-            for doc, (digest, _, _, tag) in zip(ids, chunks(raw_texts(batch.column(1)), every), strict=True):
+            for doc, (digest, _, _, tag) in zip(ids, chunks(raw_texts(batch.column(1)), reach), strict=True):
                 if len(digest):
                     held.append((digest, np.full(len(digest), doc), np.arange(len(digest)) + (tag << 40)))
                     n += len(digest)
@@ -109,7 +120,7 @@ def _runs(again: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, i
     return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if total[b] - total[a] >= least]
 
 
-def dedup_substrings(docs: DataFrame, every: int = EVERY, run: int = RUN) -> DataFrame:
+def dedup_substrings(docs: DataFrame, reach: int = REACH, run: int = RUN) -> DataFrame:
     """``docs`` with ``text`` cut and ``removed_words long, removed_spans array<struct<start,end>>`` (bytes of the old text)
     appended; existing columns of these names are replaced and an ``n_chars`` column is brought up to date.
 
@@ -118,7 +129,7 @@ def dedup_substrings(docs: DataFrame, every: int = EVERY, run: int = RUN) -> Dat
     """
     names = ("removed_words", "removed_spans")
     fields = [f for f in docs.schema.fields if f.name not in names]
-    marks = repeated_chunks(docs, every).groupBy("q_doc").agg(F.collect_list("q_place").alias("q_places"))
+    marks = repeated_chunks(docs, reach).groupBy("q_doc").agg(F.collect_list("q_place").alias("q_places"))
     kept = docs.select(*(F.col(f"`{f.name}`") for f in fields), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("q_id"))
     joined = kept.join(marks, F.col("q_id") == F.col("q_doc"), "left").drop("q_id", "q_doc")
     text_at = [f.name for f in fields].index("text")
@@ -128,7 +139,7 @@ def dedup_substrings(docs: DataFrame, every: int = EVERY, run: int = RUN) -> Dat
         for batch in batches:
             texts, out, removed, spans = raw_texts(batch.column(text_at)), [], [], []
             marked = [k for k in range(len(texts)) if batch.column(len(fields))[k].is_valid]
-            found = dict(zip(marked, chunks([texts[k] for k in marked], every), strict=True))
+            found = dict(zip(marked, chunks([texts[k] for k in marked], reach), strict=True))
             for k, text in enumerate(texts):
                 gone, n = [], 0
                 if k in found:
