@@ -21,15 +21,18 @@ _FENCE = frozenset("table td th caption button object body html article section
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"\s+")
+#: Elements nested deeper than this are read as if they stood side by side.
+DEEPEST = 150
 
 
 class Node:
     """An element; ``parts`` holds its texts (str) and child elements in order."""
 
-    __slots__ = ("attrs", "name", "parent", "parts")
+    __slots__ = ("attrs", "depth", "name", "parent", "parts")
 
     def __init__(self, name: str, attrs: str = "", parent: Node | None = None):
         self.name, self.attrs, self.parent, self.parts = name, attrs, parent, []
+        self.depth = parent.depth + 1 if parent else 0
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if self.attrs else {}
@@ -86,7 +89,7 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             node.parts.append(source[at : end.start()] if end else source[at:])
             at = end.end() if end else n
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
             top = node
     return root
 

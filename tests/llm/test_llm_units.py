@@ -168,7 +168,8 @@ def test_extract_by_hand():
     page = "<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>A&amp;B</h1><p>First   line\n here, and more of it.<p>Second &lt;one&gt; is here as well.</article><div class=comments><p>Great post!</p></div><footer>&copy; me</footer>"
     assert html_extract.extract(page, trees) == ["A&B", "First line here, and more of it.", "Second <one> is here as well."]
     assert html_extract.extract("", trees) == html_extract.extract(None, trees) == html_extract.extract("<p></p><!-- x -->", trees) == []
-    html_extract.extract("<div>" * 200 + "text", trees)
+    for deep in ("<div>", "<b>", "<div><span>", "<a><div>"):
+        html_extract.extract(deep * 5000 + "text", trees)
 
 
 def test_parser():
