@@ -179,8 +179,23 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long")
 
 
-def _candidates(tiles: DataFrame) -> DataFrame:
-    """``a, b``: by R-tree in each tile of ``tile, sig, label, n, cv``, pairs of different labels that may link."""
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose points admit a link."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([rtree.may_link(*row) for row in rows], pa.bool_()))
+
+    left = classes.select(F.col("sig").alias("a"), F.col("cv").alias("x"), F.col("n").alias("n_a"))
+    right = classes.select(F.col("sig").alias("b"), F.col("cv").alias("y"), F.col("n").alias("n_b"))
+    near = pairs.join(left, "a").join(right, "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    return near.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(run, "a long, b long")
+
+
+def _candidates(tiles: DataFrame, best: bool) -> DataFrame:
+    """``a, b``: by R-tree in each tile of ``tile, sig, label, n, cv``, pairs of different labels that may link (``best``: of any
+    two labels the likeliest one)."""
 
     def run(batches):
         tile, rows = None, []
@@ -197,13 +212,25 @@ def _candidates(tiles: DataFrame) -> DataFrame:
             return
         _, labels = np.unique([r[2] for r in rows], return_inverse=True)
         sig = np.array([r[1] for r in rows])
-        i, j = rtree.join([rtree.counts_of(r[4]) for r in rows], np.array([r[3] for r in rows]), labels)
+        i, j = rtree.join([rtree.counts_of(r[4]) for r in rows], np.array([r[3] for r in rows]), labels, best)
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(sig[i], sig[j])), pa.array(np.minimum(sig[i], sig[j]))], ["a", "b"])
 
     return tiles.select("tile", "sig", "label", "n", "cv").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after further links ``a, b``: only the roots are joined anew."""
+    name = groups.select(F.col("node").alias("s"), "root")
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(name, ends[end] == name["s"], "left").select(F.coalesce("root", end).alias(end), *[c for c in ("a", "b") if c != end])
+    top = materialise(components(ends, "jaccard-roots"), "jaccard-top").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    # nodes that no link had met before are their own roots
+    known = groups.unionByName(top.select(F.col("old").alias("node"), F.col("old").alias("root")).join(groups.select("node"), "node", "left_anti"))
+    return known.join(top, known["root"] == top["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per input row.
 
@@ -232,23 +259,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     votes = found.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("votes").alias("votes"))
     best = Window.partitionBy("a").orderBy(F.col("votes").desc(), "b")
     leaders = votes.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
-    groups = materialise(components(_linked(leaders, texts), "jaccard-leaders"), "jaccard-groups")
-
-    labelled = tiles.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("tile", "sig", F.coalesce("root", "sig").alias("label"))
-    labelled = materialise(labelled, "jaccard-labelled")
-    mixed = labelled.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tile")
-    searched = labelled.join(mixed, "tile", "left_semi").join(classes.select("sig", "n", "cv"), "sig")
-    pairs = materialise(_candidates(searched).distinct(), "jaccard-pairs")
-    late = _linked(pairs, texts)
-    name = groups.select(F.col("node").alias("s"), "root")
-    for end in ("a", "b"):
-        late = late.join(name, late[end] == name["s"], "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
-    joined = components(late, "jaccard-late")
-    top = joined.select(F.col("node").alias("group"), F.col("root").alias("top"))
-    # a set that no leader took may still be in a late link, and a group's root may have been joined to another
-    sets = groups.select(F.col("node").alias("sig"), F.col("root").alias("group"))
-    sets = sets.unionByName(joined.select(F.col("node").alias("sig"), F.col("node").alias("group")).join(groups.select(F.col("node").alias("sig")), "sig", "left_anti"))
-    final = sets.join(top, "group", "left").select("sig", F.coalesce("top", "group").alias("label"))
+    links = materialise(_linked(_bounded(leaders, classes), texts), "jaccard-links")
+    groups = materialise(components(links, "jaccard-leaders"), "jaccard-groups")
+    # Twice: first the likeliest pair of any two components in a tile, then every pair of components that are still apart.
+    for likeliest in (True, False):
+        labelled = tiles.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("tile", "sig", F.coalesce("root", "sig").alias("label"))
+        labelled = materialise(labelled, "jaccard-labelled")
+        mixed = labelled.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tile")
+        searched = labelled.join(mixed, "tile", "left_semi").join(classes.select("sig", "n", "cv"), "sig")
+        pairs = materialise(_candidates(searched, likeliest).distinct(), "jaccard-pairs")
+        late = materialise(_linked(pairs, texts), "jaccard-late")
+        groups = materialise(_merged(groups, late), "jaccard-groups")
+    final = groups.select(F.col("node").alias("sig"), F.col("root").alias("label"))
 
     labels = rows.select("doc_id", "n", "sig").join(final, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sig").alias("label"))
     least = labels.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
