@@ -38,7 +38,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back (same schema, lineage cut)."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
