@@ -18,7 +18,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of one cache of a Python worker; a full cache starts anew, so memory stays bounded.
-CACHE = 500_000
+CACHE = 700_000
 
 _RUN = re.compile(r"[ \t\r\n][ \t\r\n]")
 _ODD = re.compile(r"[^\S \t\r\n]")
@@ -78,7 +78,13 @@ class PieceEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _of_token(self, token: str) -> bytes:
-        ids = [t.id for t in self._model.tokenize(token.encode().decode("latin-1").translate(self._letters))]
+        if token.isascii() and token.isalpha():
+            letters = token  # these bytes stand for themselves
+        elif token.isascii() and token[0] == " " and token[1:].isalpha():
+            letters = "\u0120" + token[1:]
+        else:
+            letters = token.encode().decode("latin-1").translate(self._letters)
+        ids = [t.id for t in self._model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _of_piece(self, piece: str) -> bytes:
@@ -86,14 +92,14 @@ class PieceEncoder:
             if max(piece) > "\xff" or self._marks and self._marks.search(piece):
                 return self.whole(piece)
         if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():
-            return self._token[piece]
+            return self._of_token(piece)  # kept as a piece already
         return b"".join(map(self._token.__getitem__, _BYTE_SPLIT.findall(piece)))
 
     def _of_lowered(self, piece: str) -> bytes:
         if max(piece, default="") > "\xff" or self._marks and self._marks.search(piece):
             return self.whole(piece)
         if piece.isalpha():
-            return self._token[piece.lower()]
+            return self._of_token(piece.lower())
         return b"".join(map(self._token.__getitem__, _WORD_SPLIT.findall(piece.lower())))
 
     def _spaced(self, text: str) -> bytes:
