@@ -5,7 +5,7 @@ terms are sorted and dealt, by a hash of the term, to ``PARTS`` lexicon subsets
 subset's terms are hashed together.  An edit changes the hashes of the few subsets that hold a changed term.
 
 A band from below bounds the lexicon: at most (distinct terms of a text) / (least share of texts) terms can lie in it,
-however large the corpus, so its Bloom filter is a bounded literal and no text is shuffled for the lookup.
+however large the corpus, so its bitmap is a bounded literal and no text is shuffled for the lookup.
 """
 
 from __future__ import annotations
@@ -15,18 +15,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.sources.scratch import materialise
+
 #: The band: least and greatest idf = ln(texts / texts with the term); the least document frequency.
 LOW_IDF, HIGH_IDF, LEAST = math.log(12), math.log(2500), 2
 #: Subsets at a rate, and the rates: a text's term is used at rate r with probability 1/r.
-PARTS, RATES = 16, (1, 8, 64)
+PARTS, RATES = 10, (2, 8, 32, 128)
 #: Subsets that must hold terms of either text before a rate counts, and bits of the filter for each lexicon term.
-ENOUGH, BITS = 6, 32
+ENOUGH, BITS = 5, 128
+#: White space, as in a word's definition.
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def term_hashes(text: str = "text") -> Column:
     """Distinct hashes of the lower-case words of the whole text; null: none."""
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    inner = F.trim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_BLANKS))
+    hashes = F.transform(F.split(inner, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
+    return F.when(inner == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(hashes))
 
 
 def lexicon(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF, least: int = LEAST) -> DataFrame:
@@ -37,12 +42,13 @@ def lexicon(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF, least
     return counts.where(F.col("df") >= least).crossJoin(F.broadcast(total)).where((idf >= low) & (idf <= high)).select("term", "df")
 
 
-def bloom(lexicon_: DataFrame) -> tuple[str, int]:
-    """The lexicon as a Bloom filter of two probes: 64-bit words joined by commas and the number of bits (a power of two)."""
-    lexicon_ = lexicon_.select("term")
+def lexicon_bitmap(lexicon_: DataFrame) -> tuple[str, int]:
+    """The lexicon as a bitmap of hash buckets: 64-bit words joined by commas and the number of bits (a power of two).  Of the
+    terms outside the lexicon about one in ``BITS`` passes too, the same ones everywhere."""
+    lexicon_ = materialise(lexicon_.select("term"), "imatch-lexicon")  # counted and read: the corpus is gone through once
     n = lexicon_.count()
     bits = 1 << max(10, (BITS * max(n, 1) - 1).bit_length())
-    probes = lexicon_.select(F.explode(F.array(*_probes(F.col("term"), bits))).alias("bit"))
+    probes = lexicon_.select(F.col("term").bitwiseAND(F.lit(bits - 1)).alias("bit"))
     words = probes.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("word"))
     filled = [0] * (bits // 64)
     for row in words.toLocalIterator():
@@ -50,10 +56,6 @@ def bloom(lexicon_: DataFrame) -> tuple[str, int]:
     return ",".join(map(str, filled)), bits
 
 
-def _probes(h: Column, bits: int) -> list[Column]:
-    return [h.bitwiseAND(F.lit(bits - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(bits - 1)).cast("long")]
-
-
 def with_fingerprint(docs: DataFrame, text: str, out: str, filter_words: str, bits: int) -> DataFrame:
     """``docs`` with an array of the hashes of all subsets, rate by rate; null where a subset holds none of the text's terms.
 
@@ -63,16 +65,16 @@ def with_fingerprint(docs: DataFrame, text: str, out: str, filter_words: str, bi
     words = F.split(F.lit(filter_words), ",").cast("array<bigint>")
 
     def known(h: Column) -> Column:
-        tests = [F.call_function("bit_get", F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in _probes(h, bits)]
-        return tests[0] & tests[1]
+        at = F.shiftright(h, 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
+        return F.call_function("bit_get", F.get(words, at), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     found = docs.withColumn("q_terms", F.array_sort(F.filter(term_hashes(text), known)))
     for i, rate in enumerate(RATES):
-        found = found.withColumn(f"q_own{i}", F.expr(f"filter(q_terms, h -> pmod(shiftright(h, 8), {rate}) = 0)"))
+        found = found.withColumn(f"q_own{i}", F.expr(f"filter(q_terms, h -> pmod(shiftright(h, 24), {rate}) = 0)"))
     nothing = F.xxhash64(F.array().cast("array<bigint>"))
 
     def parts(i: int) -> Column:
-        dealt = lambda k: F.filter(f"q_own{i}", lambda h: F.pmod(F.shiftright(h, 20), F.lit(PARTS)) == k)
+        dealt = lambda k: F.filter(f"q_own{i}", lambda h: F.pmod(F.shiftright(h, 34), F.lit(PARTS)) == k)
         return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.nullif(F.xxhash64(dealt(k)), nothing))
 
     return found.withColumn(out, F.concat(*[parts(i) for i in range(len(RATES))])).drop("q_terms", *[f"q_own{i}" for i in range(len(RATES))])
@@ -94,7 +96,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(array: str) -> Column:
-    """A fingerprint as a string: 16 hexadecimal digits a subset, ``-`` where it is empty, joined by ``.``."""
+    """A fingerprint as a string: up to 16 hexadecimal digits a subset, ``-`` where it is empty, joined by ``.``."""
     return F.array_join(F.transform(F.col(array), lambda h: F.coalesce(F.hex(h), F.lit("-"))), ".")
 
 
@@ -130,7 +132,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     empty; equal texts have equal fingerprints; other columns are ignored; an empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    filter_words, bits = bloom(lexicon(slim))
+    filter_words, bits = lexicon_bitmap(lexicon(slim))
     own = with_fingerprint(slim, "text", "fp", filter_words, bits)
     paired = with_next(own, ["text", "fp"])
     n = F.length("text")
