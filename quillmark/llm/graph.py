@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.sources.scratch import materialise
+from quillmark.sources.scratch import materialise, release
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -29,6 +29,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(star, label)
+        last, edges = edges, materialise(star, label)
+        release(last)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

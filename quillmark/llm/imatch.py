@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.sources.scratch import materialise
+from quillmark.sources.scratch import materialise, release
 
 #: The band: least and greatest idf = ln(texts / texts with the term); the least document frequency.
 LOW_IDF, HIGH_IDF, LEAST = math.log(12), math.log(2500), 2
@@ -53,6 +53,7 @@ def lexicon_bitmap(lexicon_: DataFrame) -> tuple[str, int]:
     filled = [0] * (bits // 64)
     for row in words.toLocalIterator():
         filled[row["at"]] = row["word"]
+    release(lexicon_)
     return ",".join(map(str, filled)), bits
 
 

@@ -25,7 +25,7 @@ from quillmark.llm import rtree
 from quillmark.llm.graph import components
 from quillmark.llm.rolling import _mix
 from quillmark.llm.shingles import raw_texts, shingle_sets
-from quillmark.sources.scratch import materialise
+from quillmark.sources.scratch import materialise, release
 
 #: Counters of the sketch, in blocks; a bucket is common from ``FLOOR + TIMES * mean`` on, so at most 1/TIMES are.
 WIDTH, STRIPE, FLOOR, TIMES = 1 << 22, 1 << 12, 64, 8
@@ -193,6 +193,14 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
+def _fitting(tiles: DataFrame) -> DataFrame:
+    """The rows of ``tile, sig, label, n`` whose next smaller or larger set in the tile is of a size that can link; if those are
+    not, no set of the tile is.  Points are fetched for these rows only."""
+    by_size = Window.partitionBy("tile").orderBy("n", "sig")
+    near = tiles.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
+    return near.where("100 * smaller >= 75 * n or 100 * n >= 75 * larger").select("tile", "sig", "label", "n")
+
+
 def _candidates(tiles: DataFrame, best: bool) -> DataFrame:
     """``a, b``: by R-tree in each tile of ``tile, sig, label, n, cv``, pairs of different labels that may link (``best``: of any
     two labels the likeliest one)."""
@@ -266,13 +274,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         labelled = tiles.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("tile", "sig", F.coalesce("root", "sig").alias("label"))
         labelled = materialise(labelled, "jaccard-labelled")
         mixed = labelled.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tile")
-        searched = labelled.join(mixed, "tile", "left_semi").join(classes.select("sig", "n", "cv"), "sig")
+        sized = labelled.join(mixed, "tile", "left_semi").join(classes.select("sig", "n"), "sig")
+        searched = _fitting(sized).join(classes.select("sig", "cv"), "sig")
         pairs = materialise(_candidates(searched, likeliest).distinct(), "jaccard-pairs")
         late = materialise(_linked(pairs, texts), "jaccard-late")
-        groups = materialise(_merged(groups, late), "jaccard-groups")
+        before, groups = groups, materialise(_merged(groups, late), "jaccard-groups")
+        release(before, labelled, pairs, late)
+    release(found, links, texts)
     final = groups.select(F.col("node").alias("sig"), F.col("root").alias("label"))
 
     labels = rows.select("doc_id", "n", "sig").join(final, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sig").alias("label"))
     least = labels.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     named = labels.join(least, "label", "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    result = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    result = materialise(result, "jaccard-result")
+    release(profile, classes, groups)
+    return result
