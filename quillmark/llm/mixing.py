@@ -42,8 +42,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     excess is shared again by weight among the others until none is above.
 
     Filling by weight in rounds ends where every source has ``min(most * size, level * weight)`` for one common level, so the
-    level is found at once: in order of ``most * size / weight`` the first source that the level of all from it on does not
-    fill up.  The window runs over the sources (one row each).
+    level is found at once: in order of ``most * size / weight`` it is that of the first source that the level of all from it on
+    does not fill up (levels fall from there on, so it is the greatest such).  The window runs over the sources (one row each).
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -54,7 +54,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    levels = ranked.withColumn("level", level).withColumn("common", F.min(F.when(F.col("level") <= F.col("r"), F.col("level"))).over(every))
+    levels = ranked.withColumn("level", level).withColumn("common", F.max(F.when(F.col("level") <= F.col("r"), F.col("level"))).over(every))
     return levels.select("source", "source_size", F.when(F.col("common").isNull(), F.col("full")).otherwise(F.least("full", F.col("common") * F.col("w"))).alias("target"))
 
 
@@ -101,7 +101,7 @@ levels AS (
          / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (
   SELECT source, source_size, CASE WHEN c IS NULL THEN most ELSE least(most, c * w) END AS target
-  FROM levels CROSS JOIN (SELECT min(level) AS c FROM levels WHERE level <= r)),
+  FROM levels CROSS JOIN (SELECT max(level) AS c FROM levels WHERE level <= r)),
 ranked AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY class, salt, size, doc_id NULLS FIRST) AS place FROM cells),
 drawn AS (

@@ -141,15 +141,16 @@ def test_mixing_equals_sql(spark, docs, empty, tmp_path):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mix_sources(docs).columns[-5:] == ["size", "source_size", "target", "copies", "taken"]
 
 
-def test_mixing_targets(spark):
-    data = [(i, "w " * R.randint(1, 60), s) for i, s in enumerate(R.choices(["a", "b", "c", "d", None], [50, 30, 300, 10, 10], k=3000))]
+@pytest.mark.parametrize("shares", [[50, 30, 300, 10, 10], [10] * 20, [100, 1, 1, 1], [1, 1, 100], [5]])
+def test_mixing_targets(spark, shares):
+    names = [chr(97 + i) for i in range(len(shares) - 1)] + [None]
+    data = [(i, "w " * R.randint(1, 60), s) for i, s in enumerate(R.choices(names, shares, k=3000))]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     mixed = mixing.mix_sources(df)
     sizes = {}
     for _, t, s in data:
         sizes[s] = sizes.get(s, 0) + len(t.split())
-    names = sorted((s for s in sizes if s), key=str) + [None]
-    target, open_, left = {}, dict(zip(names, [5, 2, 1, 5, 2])), float(sum(sizes.values()))
+    target, open_, left = {}, dict(zip([n for n in names if n in sizes], [5, 2, 1] * 7)), float(sum(sizes.values()))
     while True:  # share by weight until no source is above its limit
         share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
         over = [s for s in open_ if share[s] > 3 * sizes[s]]
@@ -161,7 +162,7 @@ def test_mixing_targets(spark):
             left -= target[s]
             del open_[s]
     for r in mixed.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
-        assert r["target"] == pytest.approx(target[r["source"]]) and abs(r["taken"] - r["target"]) <= 70 and r["over"] <= 0
+        assert r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["target"] and abs(r["taken"] - r["target"]) <= 70 and r["over"] <= 0
     again = mixing.mix_sources(df.repartition(7))
     assert sorted(map(tuple, again.select("doc_id", "copies").collect())) == sorted(map(tuple, mixed.select("doc_id", "copies").collect()))
 
