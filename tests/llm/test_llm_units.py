@@ -195,6 +195,15 @@ def test_counterfactual_penalty():
     assert 0 <= with_swaps.score("") <= 1 and 0 <= with_swaps.score(None) <= 1
 
 
+def test_toxic_words_of_a_small_language_are_kept():
+    # one language with many toxic documents, and one with few and its own words
+    docs = ["you idiot"] * 400 + ["you fine"] * 1600 + ["le sale reste"] * 40 + ["le jardin reste"] * 160
+    labels = [1] * 400 + [0] * 1600 + [1] * 40 + [0] * 160
+    model = toxicity.fit(words(*docs), np.array(labels, float))
+    assert model.score("le sale reste") > 0.5 > model.score("le jardin reste")
+    assert model.score("you idiot") > 0.5 > model.score("you fine")
+
+
 def test_no_or_one_label():
     assert toxicity.fit(words(), np.zeros(0)).score("x") < 0.5
     assert toxicity.fit(words("a", "b"), np.zeros(2)).score("x") < 0.5
