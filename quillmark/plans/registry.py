@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import ranking, text
@@ -509,6 +509,27 @@ def _chunks(spark, d) -> DataFrame:
 CHUNKS = f"{KNN_CANDS}, chunks AS (SELECT query_id, rank AS ord, substring(text, 1, 2000) AS text, relevance, source, doc_ord::VARCHAR AS pmid, title, year, journal FROM cands)"
 
 
+def _whole_chunks(spark, d) -> DataFrame:
+    """The candidates' whole texts as chunks; ``_chunks`` has the first 2000 characters, as its SQL fixes them."""
+    return _knn_cands(spark, d).select("query_id", F.col("rank").alias("ord"), "text")
+
+
+WHOLE_CHUNKS = f"{KNN_CANDS}, chunks AS (SELECT query_id, rank AS ord, text FROM cands)"
+
+
+def _window_chunks(spark, d) -> DataFrame:
+    """All windows of the candidates' whole texts, in order of rank and place."""
+    cands = _knn_cands(spark, d)
+    windows = chunking.chunk_windows(cands.select(F.struct(*(c for c in cands.columns if c != "text")).alias("q_cand"), "text"), doc_id="q_cand")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_index"))
+    pmid = F.col("doc_ord").cast("string")
+    rows = windows.select("doc_id.*", "chunk_index", "text")
+    return rows.select("query_id", place.alias("ord"), "text", "relevance", "source", pmid.alias("pmid"), F.concat(pmid, F.lit("#"), F.col("chunk_index").cast("string")).alias("chunk_id"), pmid.alias("doc_id"), "chunk_index", "title", "year", "journal")
+
+
+WINDOW_CHUNKS = f"{KNN_CANDS}, {WINDOWS}, chunks AS (SELECT c.query_id, row_number() OVER (PARTITION BY c.query_id ORDER BY c.rank, w.chunk_index) AS ord, w.text, c.relevance, c.source, c.doc_ord::VARCHAR AS pmid, c.title, c.year, c.journal FROM cands c JOIN windows w ON w.doc_id = c.doc_ord)"
+
+
 @_query(f"""WITH {CHUNKS}, sets AS (SELECT query_id, ord, list_distinct(regexp_extract_all(text, '[一-鿿]{{2}}|[A-Za-z]+|\\d+')) AS s FROM chunks),
 p AS (SELECT x.query_id, x.ord AS a, y.ord AS b, round(len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 9) AS jaccard FROM sets x JOIN sets y ON x.query_id = y.query_id AND x.ord < y.ord WHERE len(x.s) > 0 AND len(y.s) > 0)
 SELECT query_id, a, b, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= 0.2""")
@@ -516,6 +537,13 @@ def jaccard_pairs(spark, d):
     return context.near_pairs(_chunks(spark, d), 0.2).select("query_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@_query(f"""WITH {WHOLE_CHUNKS}, sets AS (SELECT query_id, ord, list_distinct(regexp_extract_all(text, '[一-鿿]{{2}}|[A-Za-z]+|\\d+')) AS s FROM chunks),
+p AS (SELECT x.query_id, x.ord AS a, y.ord AS b, round(len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 9) AS jaccard FROM sets x JOIN sets y ON x.query_id = y.query_id AND x.ord < y.ord WHERE len(x.s) > 0 AND len(y.s) > 0)
+SELECT query_id, a, b, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= 0.2""")
+def jaccard_pairs_whole(spark, d):
+    return context.near_pairs(_whole_chunks(spark, d), 0.2).select("query_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 DIVERSE = f"""{CHUNKS}, nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY relevance DESC, ord) - 1 AS n FROM chunks),
 scored AS (SELECT *, CASE WHEN n >= 3 THEN 0 ELSE round(relevance * pow(0.85::DOUBLE, n), 9) END AS ds FROM nth),
 diverse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ds DESC, relevance DESC, ord) AS diverse_rank FROM scored)"""
@@ -536,29 +564,51 @@ def _packed(spark, d) -> DataFrame:
     return context.pack(context.diversify(_chunks(spark, d)))
 
 
+WINDOW_PACKED = PACKED.replace(CHUNKS, WINDOW_CHUNKS)
+
+
+def _window_packed(spark, d) -> DataFrame:
+    return context.pack(context.diversify(_window_chunks(spark, d)))
+
+
 @_query(f"WITH {PACKED} SELECT query_id, position::INT AS position, ord, tokens::INT AS tokens FROM packed")
 def context_pack(spark, d):
     return _packed(spark, d).select("query_id", "position", "ord", "tokens")
 
 
+@_query(f"WITH {WINDOW_PACKED} SELECT query_id, position::INT AS position, ord, tokens::INT AS tokens FROM packed")
+def context_pack_windows(spark, d):
+    return _window_packed(spark, d).select("query_id", "position", "ord", "tokens")
+
+
 @_query(f"WITH {PACKED} SELECT query_id, md5(string_agg('【文档' || position || '】PMID: ' || pmid || ' | 来源: ' || source || ' | 相关性: ' || printf('%.3f', relevance) || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS digest FROM packed GROUP BY query_id")
 def context_string(spark, d):
     return context.render(_packed(spark, d)).select("query_id", F.md5("context_text").alias("digest"))
 
 
+@_query(f"WITH {WINDOW_PACKED} SELECT query_id, md5(string_agg('【文档' || position || '】PMID: ' || pmid || ' | 来源: ' || source || ' | 相关性: ' || printf('%.3f', relevance) || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS digest FROM packed GROUP BY query_id")
+def context_string_windows(spark, d):
+    return context.render(_window_packed(spark, d)).select("query_id", F.md5("context_text").alias("digest"))
+
+
 @_query(f"WITH {PACKED} SELECT query_id, source, count(*)::BIGINT AS n FROM packed GROUP BY query_id, source")
 def source_counts(spark, d):
     return context.source_counts(_packed(spark, d)).select("query_id", F.explode("chunk_sources").alias("source", "n"))
 
 
+@_query(f"WITH {WINDOW_PACKED} SELECT query_id, source, count(*)::BIGINT AS n FROM packed GROUP BY query_id, source")
+def source_counts_windows(spark, d):
+    return context.source_counts(_window_packed(spark, d)).select("query_id", F.explode("chunk_sources").alias("source", "n"))
+
+
 @_query()
 def context_dedup(spark, d):
-    return context.dedup(_chunks(spark, d)).select("query_id", "ord", "relevance")
+    return context.dedup(_window_chunks(spark, d)).select("query_id", "ord", "relevance")
 
 
 @_query()
 def context_assemble(spark, d):
-    done = context.assemble(_chunks(spark, d))
+    done = context.assemble(_window_chunks(spark, d))
     return done.select("query_id", "total_chunks_retrieved", "unique_chunks_after_dedup", "chunks_selected", "estimated_tokens", F.to_json("chunk_sources").alias("chunk_sources"), F.length("context_text").alias("context_chars"))
 
 
@@ -611,7 +661,7 @@ def truncate_short(spark, d):
 @_query()
 def answers(spark, d):
     questions = _asked(spark, d).select("query_id", F.concat(F.lit("question "), F.col("query_id")).alias("query"))
-    done = retrieval.answer(_chunks(spark, d), questions)
+    done = retrieval.answer(_window_chunks(spark, d), questions)
     return done.select("query_id", "answer", F.to_json("stage_success").alias("stage_success"))
 
 

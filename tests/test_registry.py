@@ -32,3 +32,18 @@ def test_query_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_contexts_hold_later_text(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    # the two texts differ up to character 2000 and are alike after it
+    late = " ".join(f"late{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+    spark.createDataFrame([(0, "x " * 1100 + late, "a"), (1, "y " * 1100 + late, "b")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [(r["a"], r["b"]) for r in registry.QUERIES["jaccard_pairs_whole"](spark, str(tmp_path)).collect()] == [(1, 2)]
+    windows = registry._window_chunks(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r["ord"] for r in windows] == list(range(1, len(windows) + 1)) and {w for r in windows for w in r["text"].split()} == {"x", "y", *late.split()}
+    row = registry.QUERIES["context_assemble"](spark, str(tmp_path)).collect()[0]
+    assert row["total_chunks_retrieved"] == len(windows) and row["chunks_selected"] > 2
+    assert registry.QUERIES["context_dedup"](spark, str(tmp_path)).agg(F.max("ord")).first()[0] > 2
