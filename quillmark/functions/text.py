@@ -111,7 +111,7 @@ def truncate_at_sentence(c: Column | str, target: int) -> Column:
     text, window = present(c), max(1, target // 10)
     start = target - window
     region = F.substring(text, start + 1, window)
-    out = F.rtrim(F.substring(text, 1, target))
+    out = F.regexp_replace(F.substring(text, 1, target), r"(?U)[\s\x1c-\x1f]+\z", "")
     for mark in reversed(ends):
         # position of the last occurrence, counted from the end of the reversed region
         back = F.instr(F.reverse(region), F.reverse(F.lit(mark)))

@@ -658,6 +658,11 @@ def truncate_short(spark, d):
     return cut
 
 
+@_query()
+def truncate_sentence_end(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.truncate_at_sentence("text", 400)).alias("digest"))
+
+
 @_query()
 def answers(spark, d):
     questions = _asked(spark, d).select("query_id", F.concat(F.lit("question "), F.col("query_id")).alias("query"))

@@ -47,3 +47,27 @@ def test_contexts_hold_later_text(spark, tmp_path):
     row = registry.QUERIES["context_assemble"](spark, str(tmp_path)).collect()[0]
     assert row["total_chunks_retrieved"] == len(windows) and row["chunks_selected"] > 2
     assert registry.QUERIES["context_dedup"](spark, str(tmp_path)).agg(F.max("ord")).first()[0] > 2
+
+
+def test_truncation_of_all_documents_by_brute_force(spark, tmp_path):
+    import hashlib
+
+    def cut(t, n=400):
+        if len(t) <= n:
+            return t
+        region = t[n - n // 10 : n]
+        for mark in ["。", "？", "！", ";\n", "!\n", "?\n", ".\n", ". ", "! ", "? "]:
+            if mark in region:
+                return t[: n - n // 10 + region.rfind(mark) + len(mark)]
+        return t[:n].rstrip()
+
+    marks = ["。", "？", "！", ";\n", "!\n", "?\n", ".\n", ". ", "! ", "? "]
+    own = ["", "short", "x" * 400, "x" * 401, "y" * 395 + " \t\n\u00a0\u2003" + "z" * 9, "y" * 399 + "\n" + "z", "é😀" * 300, "a. b" * 120, None]
+    own += ["x" * at + m + "y" * 100 for m in marks for at in (350, 358, 359, 360, 380, 398, 399, 400)]
+    own += ["x" * 365 + m + "b" * 10 + n + "y" * 100 for m in marks for n in marks]
+    spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), DIR):
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        got = {r["doc_id"]: r["digest"] for r in registry.QUERIES["truncate_sentence_end"](spark, d).collect()}
+        assert got == {i: hashlib.md5(cut(t or "").encode()).hexdigest() for i, t in texts.items()}
+        assert any(len(t or "") > 400 for t in texts.values())
