@@ -354,7 +354,7 @@ def field_completeness(spark, d):
 
 @_query("SELECT sum((length(trim(substring(text, 1, 20) || substring(text, 21, 60))) < 50)::INT)::BIGINT AS short_texts, sum(contains(text, chr(65533))::INT)::BIGINT AS encoding_issues FROM documents")
 def short_and_encoding(spark, d):
-    docs = _t(spark, d, "documents").select(F.substring("text", 1, 20).alias("title"), F.substring("text", 21, 60).alias("abstract"))
+    docs = _t(spark, d, "documents").select(F.substring("text", 1, 20).alias("title"), F.expr("substring(text, 21)").alias("abstract"))
     return profile.short_and_encoding(docs)
 
 

@@ -71,3 +71,10 @@ def test_truncation_of_all_documents_by_brute_force(spark, tmp_path):
         got = {r["doc_id"]: r["digest"] for r in registry.QUERIES["truncate_sentence_end"](spark, d).collect()}
         assert got == {i: hashlib.md5(cut(t or "").encode()).hexdigest() for i, t in texts.items()}
         assert any(len(t or "") > 400 for t in texts.values())
+
+
+def test_damage_is_found_in_the_whole_text(spark, tmp_path):
+    own = ["a" * 500 + "\ufffd", "\ufffd", "b" * 20 + "\ufffd" + "c" * 60, "d" * 300, "e" * 49, "f" * 50, ""]
+    spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(registry.SQL["short_and_encoding"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert [tuple(registry.QUERIES["short_and_encoding"](spark, str(tmp_path)).first())] == want == [(3, 3)]
