@@ -70,8 +70,9 @@ def imrad(df: DataFrame, abstract: str = "abstract") -> DataFrame:
 
 
 def abbreviations(df: DataFrame, text: str = "text", k: int = 15) -> DataFrame:
-    """``value, n``: frequent words of three and more capitals, ties by word."""
-    words = df.select(F.explode(F.regexp_extract_all(present(text), F.lit(r"\b[A-Z]{2,}\b"), F.lit(0))).alias("value"))
+    """``value, n``: frequent words of three and more capitals, ties by word.  A letter, digit or underscore of any script
+    beside it makes it a part of a longer word."""
+    words = df.select(F.explode(F.regexp_extract_all(present(text), F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))).alias("value"))
     kept = words.where((F.length("value") >= 3) & ~F.col("value").isin(*NO_ABBREVIATION))
     return kept.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(k)
 

@@ -374,6 +374,11 @@ def abbreviation_topk(spark, d):
     return profile.abbreviations(_t(spark, d, "documents").where("lang = 'en'"))
 
 
+@_query()
+def abbreviation_topk_all(spark, d):
+    return profile.abbreviations(_t(spark, d, "documents"))
+
+
 @_query("""WITH s AS (SELECT (contains(t, 'background') OR contains(t, 'introduction') OR contains(t, '目的'))::INT + (contains(t, 'method') OR contains(t, 'approach') OR contains(t, '材料与方法') OR contains(t, '方法'))::INT
  + (contains(t, 'result') OR contains(t, 'finding') OR contains(t, '结果'))::INT + (contains(t, 'conclusion') OR contains(t, '结论'))::INT AS s FROM (SELECT lower(text || CASE doc_id % 3 WHEN 0 THEN ' Methods and results' WHEN 1 THEN ' Background, approach, findings, conclusions' ELSE '' END) AS t FROM documents))
 SELECT round(avg(s), 6) AS mean_score, sum((s = 4)::INT)::BIGINT AS "full", sum((s = 0)::INT)::BIGINT AS "none" FROM s""")

@@ -78,3 +78,17 @@ def test_damage_is_found_in_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     want = duckdb.sql(registry.SQL["short_and_encoding"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
     assert [tuple(registry.QUERIES["short_and_encoding"](spark, str(tmp_path)).first())] == want == [(3, 3)]
+
+
+def test_abbreviations_of_all_documents_by_brute_force(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    from quillmark.operators.profile import NO_ABBREVIATION
+
+    own = [("EEG WHO THE USA", "en"), ("ÉEEG EEGé EEG-WHO (EEG)", "fr"), ("EEG_x xEEG EEG9 9EEG éEEGs", "de"), ("患者EEG检查 WHO。EEG", None), (None, "es"), ("", None)]
+    spark.createDataFrame([(i, *t) for i, t in enumerate(own)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), DIR):
+        counts = Counter(w for r in spark.read.parquet(f"{d}/documents.parquet").collect() for w in re.findall(r"\b[A-Z]{2,}\b", r["text"] or "") if len(w) >= 3 and w not in NO_ABBREVIATION)
+        want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:15]
+        assert [tuple(r) for r in registry.QUERIES["abbreviation_topk_all"](spark, d).collect()] == want
