@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are matched at once, and the most that one call takes.
+#: Query vectors that are multiplied at once, and the most that go to the tasks as one matrix.
 BLOCK, MOST = 256, 20_000
 SENTENCE_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 QUESTION_INSTRUCTION = "Represent this question for searching relevant passages: "
@@ -51,20 +52,37 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosin
     """``query_id, path, rank, doc_ord, distance, score``: the ``k`` nearest of ``vectors(vec_id, embedding)`` to each of
     ``queries(query_id, embedding)``; ``score = 1 / (1 + distance)``.
 
-    The queries (at most ``MOST``, checked) go to every task as one matrix; a task multiplies its vectors with blocks of them
-    and sends on only its own ``k`` best of each, so what is shuffled does not depend on the number of vectors.  Ties go by
+    The queries go to every task as matrices of at most ``MOST`` (further ones, by ranges of query_id, in further passes over
+    the vectors); a task multiplies its vectors with blocks of them and sends on only its own ``k`` best of each, so what is
+    shuffled does not depend on the number of vectors.  Ties go by
     id.  Vectors and queries that are null are left out.  ``metric`` is ``cosine`` or ``l2`` (squared).
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
-    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("long"), "embedding").limit(MOST + 1).toArrow()
-    if asked.num_rows > MOST:
-        raise ValueError(f"more than {MOST} query vectors: call it for parts of them")
+    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("long"), "embedding")
     schema = "query_id long, doc_ord long, distance double"
     source = vectors.where(condition) if condition is not None else vectors
     source = source.where(f"`{vec_id}` is not null and embedding is not null").select(F.col(vec_id).cast("long").alias("doc_ord"), "embedding")
-    if not asked.num_rows:
-        return _ranked(source.sparkSession.createDataFrame([], schema), k)
+    found = [_nearest(source, block, k, metric, schema) for block in _blocks(asked)]
+    return _ranked(reduce(DataFrame.union, found) if found else source.sparkSession.createDataFrame([], schema), k)
+
+
+def _blocks(asked: DataFrame):
+    """The queries in ranges of query_id with at most ``MOST`` rows each (more only if one id has more)."""
+    while True:
+        part = asked.orderBy("query_id").limit(MOST + 1).toArrow()
+        if part.num_rows <= MOST:
+            if part.num_rows:
+                yield part
+            return
+        ids = part.column(0).to_numpy()
+        n = int(np.searchsorted(ids, ids[-1]))  # the last id may go on, so it opens the next block
+        yield part.slice(0, n) if n else asked.where(F.col("query_id") == int(ids[-1])).toArrow()
+        asked = asked.where(F.col("query_id") >= int(ids[-1]) if n else F.col("query_id") > int(ids[-1]))
+
+
+def _nearest(source: DataFrame, asked: pa.Table, k: int, metric: str, schema: str) -> DataFrame:
+    """Each task's own ``k`` best of every query of the block."""
     names = asked.column(0).to_numpy()
     matrix = _matrix(asked.column(1).combine_chunks())
 
@@ -85,7 +103,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosin
         if best_d.shape[1]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "doc_ord", "distance"])
 
-    return _ranked(source.mapInArrow(run, schema), k)
+    return source.mapInArrow(run, schema)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

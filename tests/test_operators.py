@@ -77,6 +77,20 @@ def test_knn(spark):
         vectors.knn(vecs, asked, 2, "other")
 
 
+@pytest.mark.parametrize("most", [1, 3, 4, 11, 12])
+def test_knn_beyond_one_block(spark, monkeypatch, most):
+    vecs = spark.createDataFrame([(i, [float(i % 5), float(i % 7) - 3]) for i in range(40)], "vec_id long, embedding array<float>").repartition(3)
+    # ids out of order, some of them with several vectors
+    ids = [5, 5, 9, -2, 7, 7, 7, 7, 1, 30, 12, None]
+    asked = spark.createDataFrame([(q, [float(i), 2.0]) for i, q in enumerate(ids)], "query_id long, embedding array<float>")
+    for metric in ("cosine", "l2"):
+        want = sorted(map(tuple, vectors.knn(vecs, asked, 3, metric).collect()))
+        assert {r[0] for r in want} == set(ids) - {None}
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "MOST", most)
+            assert sorted(map(tuple, vectors.knn(vecs, asked, 3, metric).collect())) == want
+
+
 def test_clean(spark):
     rows = [("1", "t", "a", None, "b"), ("1", "t2", "a", "j", "a"), ("2", " ", None, "j", "c")]
     got = clean.clean_articles(spark.createDataFrame(rows, "doc_id string, title string, abstract string, journal string, path string")).collect()
