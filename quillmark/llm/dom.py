@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,18 +22,15 @@ _FENCE = frozenset("table td th caption button object body html article section
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"\s+")
-#: Elements nested deeper than this are read as if they stood side by side.
-DEEPEST = 150
 
 
 class Node:
     """An element; ``parts`` holds its texts (str) and child elements in order."""
 
-    __slots__ = ("attrs", "depth", "name", "parent", "parts")
+    __slots__ = ("attrs", "name", "parts")
 
-    def __init__(self, name: str, attrs: str = "", parent: Node | None = None):
-        self.name, self.attrs, self.parent, self.parts = name, attrs, parent, []
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, name: str, attrs: str = ""):
+        self.name, self.attrs, self.parts = name, attrs, []
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if self.attrs else {}
@@ -43,9 +41,25 @@ class Node:
 
 def parse(source: str) -> Node:
     """The tree.  Comments and doctypes go, unclosed elements end where their parents end, stray end tags are skipped, and a
-    script, style or title holds raw text up to its own end tag."""
+    script, style or title holds raw text up to its own end tag.
+
+    Any depth is read; where the open elements of a name stand is kept, so that no tag searches all of them."""
     root = top = Node("#root")
+    stack = [root]
+    places: dict[str, list[int]] = {}  # of the open elements, by name
+    fences: list[int] = []
     at, n = 0, len(source)
+
+    def last(names) -> int:
+        return max((places[k][-1] for k in names if places.get(k)), default=0)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            name = stack.pop().name
+            places[name].pop()
+            if name in _FENCE:
+                fences.pop()
+
     while at < n:
         m = _MARK.search(source, at)
         if m is None:
@@ -59,37 +73,33 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            node = top
-            while node is not root and node.name != name:
-                if node.name in _FENCE and name in INLINE:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            own = places.get(name)
+            if own and not (name in INLINE and fences and fences[-1] > own[-1]):
+                close(own[-1])
+                top = stack[-1]
             continue
         if name in _ENDS_P:
-            node = top
-            while node is not root and node.name != "p" and node.name not in _FENCE:
-                node = node.parent
-            if node.name == "p":
-                top = node.parent
+            own = places.get("p")
+            if own and not (fences and fences[-1] > own[-1]):
+                close(own[-1])
         if name in _IMPLIED:
             ends, stop = _IMPLIED[name]
-            node, last = top, None
-            while node is not root and node.name not in stop:
-                if node.name in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                top = last.parent
-        node = Node(name, m[3], top)
+            above = last(stop)
+            inner = [own[i] for k in ends if (own := places.get(k)) and (i := bisect_right(own, above)) < len(own)]
+            if inner:
+                close(min(inner))
+        top = stack[-1]
+        node = Node(name, m[3])
         top.parts.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             node.parts.append(source[at : end.start()] if end else source[at:])
             at = end.end() if end else n
-        elif name not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
+        elif name not in VOID and not m[3].endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            if name in _FENCE:
+                fences.append(len(stack))
+            stack.append(node)
             top = node
     return root
 

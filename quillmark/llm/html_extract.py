@@ -46,72 +46,103 @@ class Block:
         self.aside = self.main = 0
 
 
-def _inline(node: Node, linked: bool, out: list[str], links: list[int]) -> bool:
-    """Append the text of an inline element; False if it holds a block element (then it is walked as a block)."""
-    for part in node.parts:
-        if isinstance(part, str):
-            out.append(part)
-            if linked:
-                links[0] += len(part.strip())
-        elif part.name in NEVER:
-            continue
-        elif part.name == "br":
-            out.append(" ")
-        elif part.name not in INLINE or not _inline(part, linked or part.name == "a", out, links):
-            return False
-    return True
+def _plain(root: Node) -> set[int]:
+    """The ids of the inline elements that hold no block element."""
+    order = [root]
+    for node in order:  # grows
+        order += [p for p in node.parts if not isinstance(p, str) and p.name not in NEVER]
+    plain: set[int] = set()
+    for node in reversed(order):
+        if node.name in INLINE and all(isinstance(p, str) or p.name in NEVER or id(p) in plain for p in node.parts):
+            plain.add(id(node))
+    return plain
+
+
+def _inline(node: Node, linked: bool, out: list[str]) -> int:
+    """Append the text of a plain inline element; the characters of it that are links."""
+    links, stack = 0, [(iter(node.parts), linked)]
+    while stack:
+        parts, linked = stack[-1]
+        for part in parts:
+            if isinstance(part, str):
+                out.append(part)
+                if linked:
+                    links += len(part.strip())
+            elif part.name in NEVER:
+                continue
+            elif part.name == "br":
+                out.append(" ")
+            else:
+                stack.append((iter(part.parts), linked or part.name == "a"))
+                break
+        else:
+            stack.pop()
+    return links
 
 
-def blocks_of(node: Node, linked: bool = False) -> Block:
-    """The tree of blocks below an element."""
-    block = Block(node.name)
-    if node.name != "#run":
-        found = node.attributes() if node.attrs else {}
-        tokens = {t.lower() for key in ("class", "id", "role") for t in _TOKEN.findall(found.get(key, ""))} | {node.name}
-        block.aside, block.main = len(tokens & ASIDE), len(tokens & MAIN)
-    run, links = [], [0]
-
-    def flush():
-        text = clean("".join(run))
+class _Open:
+    """An element whose block is being filled: the parts to come, and the run of inline content so far."""
+
+    __slots__ = ("block", "linked", "links", "node", "parts", "run")
+
+    def __init__(self, node: Node, linked: bool):
+        self.node, self.linked, self.parts, self.run, self.links = node, linked, iter(node.parts), [], 0
+        block = self.block = Block(node.name)
+        if node.name != "#run":
+            found = node.attributes() if node.attrs else {}
+            tokens = {t.lower() for key in ("class", "id", "role") for t in _TOKEN.findall(found.get(key, ""))} | {node.name}
+            block.aside, block.main = len(tokens & ASIDE), len(tokens & MAIN)
+
+    def flush(self) -> None:
+        text = clean("".join(self.run))
         if text:
             kid = Block("#run")
-            kid.text, kid.chars, kid.words, kid.links, kid.stops, kid.blocks = text, len(text), text.count(" ") + 1, min(links[0], len(text)), sum(map(text.count, ".,;!?")), 1
-            block.kids.append(kid)
-        run.clear()
-        links[0] = 0
-
-    for part in node.parts:
-        if isinstance(part, str):
-            run.append(part)
-            if linked:
-                links[0] += len(part.strip())
-        elif part.name in NEVER:
-            continue
-        elif part.name == "br":
-            run.append(" ")
-        elif part.name in INLINE:
-            own, found_links = [], [0]
-            if _inline(part, linked or part.name == "a", own, found_links):
-                run += own
-                links[0] += found_links[0]
+            kid.text, kid.chars, kid.words, kid.links, kid.stops, kid.blocks = text, len(text), text.count(" ") + 1, min(self.links, len(text)), sum(map(text.count, ".,;!?")), 1
+            self.block.kids.append(kid)
+        self.run.clear()
+        self.links = 0
+
+    def next_block(self, plain: set[int]) -> _Open | None:
+        """Read on to the next block element; None at the end, with the sums over the subtree done."""
+        block, run, linked = self.block, self.run, self.linked
+        for part in self.parts:
+            if isinstance(part, str):
+                run.append(part)
+                if linked:
+                    self.links += len(part.strip())
+            elif part.name in NEVER:
+                continue
+            elif part.name == "br":
+                run.append(" ")
+            elif id(part) in plain:
+                self.links += _inline(part, linked or part.name == "a", run)
                 block.tags += 1
             else:
-                flush()
-                kid = blocks_of(part, linked or part.name == "a")
-                if kid.kids:
-                    block.kids.append(kid)
-        else:
-            flush()
-            kid = blocks_of(part, linked)
-            if kid.kids:
-                block.kids.append(kid)
-    flush()
-    for kid in block.kids:
-        for name in ("chars", "words", "links", "tags", "stops", "paragraphs", "blocks"):
-            setattr(block, name, getattr(block, name) + getattr(kid, name))
-    block.tags += 1
-    block.paragraphs += node.name == "p"
-    return block
+                self.flush()
+                return _Open(part, linked or part.name == "a")
+        self.flush()
+        for kid in block.kids:
+            for name in ("chars", "words", "links", "tags", "stops", "paragraphs", "blocks"):
+                setattr(block, name, getattr(block, name) + getattr(kid, name))
+        block.tags += 1
+        block.paragraphs += self.node.name == "p"
+        return None
+
+
+def blocks_of(node: Node, linked: bool = False) -> Block:
+    """The tree of blocks below an element, of any depth."""
+    plain = _plain(node)
+    stack = [_Open(node, linked)]
+    while True:
+        inner = stack[-1].next_block(plain)
+        if inner:
+            stack.append(inner)
+            continue
+        block = stack.pop().block
+        if not stack:
+            return block
+        if block.kids:
+            stack[-1].block.kids.append(block)
 
 
 def features(root: Block) -> list[Block]:
@@ -119,7 +150,11 @@ def features(root: Block) -> list[Block]:
     order: list[Block] = []
     whole = max(1, root.chars)
 
-    def walk(b: Block, parent: Block, depth: int, place: int, aside: int, main: int, before: int) -> None:
+    shell = Block("#root")
+    shell.kids, shell.chars = [root], root.chars
+    stack = [(root, shell, 0, 0, root.aside, root.main, 0)]
+    while stack:
+        b, parent, depth, place, aside, main, before = stack.pop()
         n = max(1, b.chars)
         near = parent.kids
         left, right = near[place - 1].chars if place else 0, near[place + 1].chars if place + 1 < len(near) else 0
@@ -131,14 +166,11 @@ def features(root: Block) -> list[Block]:
             *(b.name == t for t in TAGS), *(parent.name == t for t in TAGS),
         ]
         order.append(b)
-        at = before
+        at, inner = before, []
         for i, k in enumerate(b.kids):
-            walk(k, b, depth + 1, i, aside + k.aside, main + k.main, at)
+            inner.append((k, b, depth + 1, i, aside + k.aside, main + k.main, at))
             at += k.chars
-
-    shell = Block("#root")
-    shell.kids, shell.chars = [root], root.chars
-    walk(root, shell, 0, 0, root.aside, root.main, 0)
+        stack += reversed(inner)
     return order
 
 
@@ -216,15 +248,14 @@ def decode(order: list[Block], z: np.ndarray) -> list[str]:
             gain[id(b)] = inner if inner and inner + min(0.0, own) * weight * 0.5 > 0 else 0.0
     out: list[str] = []
 
-    def take(b: Block) -> None:
+    stack = [order[0]]
+    while stack:
+        b = stack.pop()
         if gain[id(b)] <= 0:
-            return
+            continue
         if b.name == "#run":
             out.append(b.text)
-        for k in b.kids:
-            take(k)
-
-    take(order[0])
+        stack += reversed(b.kids)
     return out
 
 

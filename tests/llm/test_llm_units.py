@@ -177,6 +177,20 @@ def test_parser():
     assert [n.name for n in root.children()] == ["ul", "p", "div", "script"] and len(root.children()[0].children()) == 2 and root.parts[-1] == "e"
 
 
+@pytest.mark.parametrize("depth", [3, 200, 5000])
+def test_deep_elements_keep_their_structure(depth):
+    root = parse("<div>" * depth + "<nav class=menu>a</nav><p>b</p>" + "</div>" * depth + "<p>c</p>")
+    assert [n.name for n in root.children()] == ["div", "p"]
+    node, block = root.children()[0], html_extract.blocks_of(root)
+    assert block.chars == 3 and len(block.kids) == 2
+    block = block.kids[0]
+    for _ in range(depth - 1):
+        (node,), (block,) = node.children(), block.kids
+    assert [n.name for n in node.children()] == ["nav", "p"]
+    assert [(k.name, k.aside, k.chars) for k in block.kids] == [("nav", 2, 1), ("p", 0, 1)]
+    assert len(html_extract.features(html_extract.blocks_of(root))) == depth + 7
+
+
 def words(*docs):
     return pa.array([sorted(toxicity.words_of(d)) for d in docs], pa.list_(pa.string()))
 
