@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -152,13 +153,12 @@ def features(root: Block) -> list[Block]:
 
     shell = Block("#root")
     shell.kids, shell.chars = [root], root.chars
-    stack = [(root, shell, 0, 0, root.aside, root.main, 0)]
+    stack = [(root, shell, 0, 0, root.aside, root.main, 0, 1)]
     while stack:
-        b, parent, depth, place, aside, main, before = stack.pop()
+        b, parent, depth, place, aside, main, before, alike = stack.pop()
         n = max(1, b.chars)
         near = parent.kids
         left, right = near[place - 1].chars if place else 0, near[place + 1].chars if place + 1 < len(near) else 0
-        alike = sum(k.name == b.name for k in near) if len(near) < 200 else len(near)
         only = b.kids[0].name if len(b.kids) == 1 else ""
         b.x = [
             b.chars, b.words, b.chars / whole, b.links / n, b.links, b.chars / max(1, b.tags), b.tags, b.stops / max(1, b.words), b.chars / max(1, b.words), b.paragraphs, b.blocks, b.chars / max(1, b.blocks),
@@ -166,9 +166,9 @@ def features(root: Block) -> list[Block]:
             *(b.name == t for t in TAGS), *(parent.name == t for t in TAGS),
         ]
         order.append(b)
-        at, inner = before, []
+        at, inner, names = before, [], Counter(k.name for k in b.kids)
         for i, k in enumerate(b.kids):
-            inner.append((k, b, depth + 1, i, aside + k.aside, main + k.main, at))
+            inner.append((k, b, depth + 1, i, aside + k.aside, main + k.main, at, names[k.name]))
             at += k.chars
         stack += reversed(inner)
     return order

@@ -191,6 +191,13 @@ def test_deep_elements_keep_their_structure(depth):
     assert len(html_extract.features(html_extract.blocks_of(root))) == depth + 7
 
 
+@pytest.mark.parametrize("wide", [50, 300])
+def test_share_of_alike_siblings_on_wide_pages(wide):
+    order = html_extract.features(html_extract.blocks_of(parse("<ul><li>a</ul>" + "<p>b</p>" * wide + "<h2>c</h2>")))
+    share = {b.name: b.x[15] for b in order if b.name in ("ul", "p", "h2")}
+    assert share == {"ul": 1 / (wide + 2), "p": wide / (wide + 2), "h2": 1 / (wide + 2)}
+
+
 def words(*docs):
     return pa.array([sorted(toxicity.words_of(d)) for d in docs], pa.list_(pa.string()))
 
