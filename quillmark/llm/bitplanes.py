@@ -55,7 +55,7 @@ class Writer:
     def __init__(self, out, block: int = BLOCK, kind: str = "byte", level: int = 3):
         self.out, self.block, self.kind = out, block, kind
         self.zstd = zstandard.ZstdCompressor(level=level)
-        self.at, self.chunks, self.rest, self.docs = 0, [], bytearray(), []
+        self.at, self.chunks, self.rest, self.docs, self.counts = 0, [], bytearray(), [], []
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -69,16 +69,22 @@ class Writer:
         for x in planes:
             self._put(x)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id, len(ids) // 4))
-        self.rest += ids
-        while len(self.rest) >= 4 * self.block:
-            self._flush(4 * self.block)
+    def add(self, doc_ids: list[int | None], counts: list[int], ids: bytes) -> None:
+        """Documents in order, the number of ids of each, and all their ids."""
+        self.docs += doc_ids
+        self.counts += counts
+        data = memoryview(ids)
+        while data:
+            room = 4 * self.block - len(self.rest)
+            self.rest += data[:room]
+            data = data[room:]
+            if len(self.rest) == 4 * self.block:
+                self._flush(4 * self.block)
 
     def close(self) -> None:
         if self.rest:
             self._flush(len(self.rest))
-        known = np.array([d or 0 for d, _ in self.docs], "<i8").tobytes() + bytes(d is None for d, _ in self.docs) + np.array([n for _, n in self.docs], "<i8").tobytes()
+        known = np.array([d or 0 for d in self.docs], "<i8").tobytes() + bytes(d is None for d in self.docs) + np.array(self.counts, "<i8").tobytes()
         index, at = self.zstd.compress(known), self.at
         self._put(index)
         footer = json.dumps({"block": self.block, "planes": self.kind, "chunks": self.chunks, "docs": [at, len(index), len(self.docs)]}).encode()
@@ -148,18 +154,20 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, block: int = BLO
         from pyarrow import fs
 
         out, total, writer, enc = None, [0, 0], None, encoder(tokenizer)
-        end = struct.pack("<I", end_id)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if writer is None:
-                    store, top = fs.FileSystem.from_uri(folder)
-                    store.create_dir(top, recursive=True)
-                    name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bpl"
-                    out = store.open_output_stream(f"{top}/{name}")
-                    writer = Writer(out, block, planes)
-                ids = enc.encode(text.as_py() or "") + end
-                writer.add(doc, ids)
-                total = [total[0] + 1, total[1] + len(ids) // 4]
+            if writer is None:
+                store, top = fs.FileSystem.from_uri(folder)
+                store.create_dir(top, recursive=True)
+                name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bpl"
+                out = store.open_output_stream(f"{top}/{name}")
+                writer = Writer(out, block, planes)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids, counts = enc.encode_many(part.column(1))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id).astype("<u4", copy=False)
+                writer.add(part.column(0).to_pylist(), (counts + 1).tolist(), ids.tobytes())
+                total = [total[0] + part.num_rows, total[1] + len(ids)]
         if writer is not None:
             writer.close()
             out.close()
