@@ -7,6 +7,7 @@ is missing (local tests).  Intermediate tables written here cut the lineage and
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -16,12 +17,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; where the session names none, a temporary one (single machine only)."""
+    """The shared folder's URI; where the session names none, a temporary one if all runs on this machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = found.get() if found.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -57,6 +60,13 @@ def release(*tables: DataFrame) -> None:
             _made[:] = [m for m in _made if m[1] != path]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of jobs that ended: it does so once the objects that stand for them are collected,
+    and a driver with little to do may not come to that while the disks fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
