@@ -2,16 +2,19 @@
 
 Two texts link when ``100 * |A & B| >= 75 * |A | B|`` over their sets of distinct five-word shingles.
 
-1. Every text's set is hashed; equal sets form one class, named by 64 bits of the set's hash.  A sketch of fixed size
-   counts shingles over all texts, and marks as common the few buckets far above the mean.
-2. The tree's directory: a set is filed under its first ``n // 4 + 1`` shingles, common ones last.  Sets that link share
+1. Every text's set is hashed; equal sets form one class, named by 64 bits of the set's hash.  64 further bits are compared,
+   and should two classes ever share a name, all is named anew with another seed.  A sketch of fixed size counts shingles
+   over all texts, and marks as common the few buckets far above the mean.
+2. The index's directory: a set is filed under its first ``n // 4 + 1`` shingles, common ones last.  Sets that link share
    one of these (no link is lost, whatever the order), and a passage in very many texts files next to none of them.
-3. The sets filed under one shingle form a tile; equal tiles are kept once.  Each set is first compared with the tile
-   leader it meets most often.  That joins groups of near copies by one comparison a member.
+3. The sets filed under one shingle form a tile; equal tiles are kept once.  A tile's first set seeds its search: the points
+   of the sets that meet this leader most often make an R-tree, which is searched with the leader's point, and what it
+   finds is verified.  So a group of near copies is joined by one comparison a member.
 4. In every tile that still has different components, an R-tree over the group counts finds the pairs whose summed
    coordinate minima admit a link (nodes of a single component are skipped), and those pairs are verified.
 
-Only links between different components are ever looked for, so a group of k near copies costs about k comparisons.
+All pairs that are verified come from an R-tree.  Only links between different components are ever looked for, so a group
+of k near copies costs about k comparisons.
 """
 
 from __future__ import annotations
@@ -25,47 +28,51 @@ from quillmark.llm import rtree
 from quillmark.llm.graph import components
 from quillmark.llm.rolling import _mix
 from quillmark.llm.shingles import raw_texts, shingle_sets
-from quillmark.sources.scratch import materialise, release
+from quillmark.sources.scratch import materialise, release, tidy
 
 #: Counters of the sketch, in blocks; a bucket is common from ``FLOOR + TIMES * mean`` on, so at most 1/TIMES are.
 WIDTH, STRIPE, FLOOR, TIMES = 1 << 22, 1 << 12, 64, 8
+#: Sets of one tile, or of one leader, that a task holds at once: larger tiles are joined block by block.
+HELD = 20_000
 
 
-def _signature(tokens: np.ndarray) -> int:
+def _signature(tokens: np.ndarray, seed: int = 0) -> int:
     """64 bits of the set's hash (signed), the same for equal sets."""
     if not len(tokens):
         return 0
-    both = _mix(tokens.sum(dtype=np.uint64, keepdims=True) + _mix(np.bitwise_xor.reduce(tokens, keepdims=True) + np.uint64(len(tokens))))
+    own = _mix(tokens + np.uint64(seed)) if seed else tokens
+    both = _mix(own.sum(dtype=np.uint64, keepdims=True) + _mix(np.bitwise_xor.reduce(own, keepdims=True) + np.uint64(len(own))))
     return int(both.view(np.int64)[0])
 
 
-def _profile(docs: DataFrame) -> DataFrame:
-    """A row a text: ``doc_id, n, sig, cv``; and per task the sketch's stripes: ``stripe, counts``."""
+def _profile(docs: DataFrame, seed: int) -> DataFrame:
+    """A row a text: ``doc_id, key, n, sig, proof``; and per task the sketch's stripes: ``stripe, counts``."""
 
     def run(batches):
         sketch, buckets, held = np.zeros(WIDTH, np.uint32), [], 0
         for batch in batches:
-            sets = list(shingle_sets(raw_texts(batch.column(1))))
+            sets = list(shingle_sets(raw_texts(batch.column(2))))
             for s in sets:
                 buckets.append((s & np.uint64(WIDTH - 1)).astype(np.uint32))
                 held += len(s)
             if held > WIDTH:
                 sketch += np.bincount(np.concatenate(buckets), minlength=WIDTH).astype(np.uint32)
                 buckets, held = [], 0
-            yield _batch(batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()), pa.array([rtree.point(s) for s in sets], pa.binary()), None, None)
+            numbers = ([len(s) for s in sets], [_signature(s, seed) for s in sets], [_signature(s, ~seed & 0xFFFFFFFF) for s in sets])
+            yield _batch(batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in numbers), None, None)
         if buckets:
             sketch += np.bincount(np.concatenate(buckets), minlength=WIDTH).astype(np.uint32)
         stripes = [(k, row.tobytes()) for k, row in enumerate(sketch.reshape(-1, STRIPE)) if row.any()]
         for at in range(0, len(stripes), 128):
             some = stripes[at : at + 128]
-            yield _batch(None, None, None, None, pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary()))
+            yield _batch(None, None, None, None, None, pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary()))
 
     def _batch(*columns):
         n = max(len(c) for c in columns if c is not None)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([c if c is not None else pa.nulls(n, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "sig", "cv", "stripe", "counts"])
+        kinds = (*[pa.int64()] * 5, pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([c if c is not None else pa.nulls(n, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "key", "n", "sig", "proof", "stripe", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, cv binary, stripe int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, sig long, proof long, stripe int, counts binary")
 
 
 def _common(profile: DataFrame) -> np.ndarray:
@@ -88,21 +95,25 @@ def _common(profile: DataFrame) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def _filed(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """``h, sig``: every set under its first ``n // 4 + 1`` shingles, common ones last, each part in order of the hash."""
+def _filed(docs: DataFrame, bitmap: np.ndarray, seed: int) -> DataFrame:
+    """``h, sig``: every set under its first ``n // 4 + 1`` shingles, common ones last, each part in order of the hash.  A task
+    files equal sets once."""
 
     def run(batches):
+        known: set[int] = set()
         for batch in batches:
             hs, sigs = [], []
             for s in shingle_sets(raw_texts(batch.column(0))):
-                if len(s):
+                sig = _signature(s, seed)
+                if len(s) and sig not in known:
+                    known.add(sig)
                     bucket = (s & np.uint64(WIDTH - 1)).astype(np.int64)
                     hot = (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 > 0
                     first = len(s) // 4 + 1
                     cold = s[~hot][:first]
                     hs.append(cold if len(cold) == first else np.concatenate([cold, s[hot][: first - len(cold)]]))
-                    sigs.append(np.full(first, _signature(s)))
-                if sum(map(len, hs[-1:])) and len(hs) >= 500:
+                    sigs.append(np.full(first, sig))
+                if len(hs) >= 500:
                     yield _rows(hs, sigs)
                     hs, sigs = [], []
             if hs:
@@ -157,6 +168,25 @@ def _tiles(filed: DataFrame) -> DataFrame:
     return filed.repartition("h").mapInArrow(run, "kind int, x long, y long, votes long")
 
 
+def _texts(docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """``sig, n, cv, text`` of the row of every class that ``classes(sig, key)`` names."""
+
+    def own(batches):
+        for batch in batches:
+            keep, sizes, points = [], [], []
+            for k, s in enumerate(shingle_sets(raw_texts(batch.column(1)))):
+                if _signature(s, seed) == batch.column(0)[k].as_py():  # else another text with the same key
+                    keep.append(k)
+                    sizes.append(len(s))
+                    points.append(rtree.point(s))
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), kept.column(1)], ["sig", "n", "cv", "text"])
+
+    # the second hash keeps apart texts that share a key; rows that repeat a document are one
+    joined = docs.select("key", F.xxhash64(F.lit(1), "text").alias("k2"), "text").join(classes.select("key", "sig"), "key")
+    return joined.dropDuplicates(["key", "k2"]).select("sig", "text").mapInArrow(own, "sig long, n long, cv binary, text string")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link, verified on the whole shingle sets."""
 
@@ -179,52 +209,74 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long")
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose points admit a link."""
+def _led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that an R-tree over the points of a leader's followers ``a`` gives for its own point ``b``.  At most
+    ``HELD`` followers make a tree; more make several."""
 
     def run(batches):
+        last, rows = None, []
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-            yield batch.select([0, 1]).filter(pa.array([rtree.may_link(*row) for row in rows], pa.bool_()))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[1] != last or len(rows) >= HELD:
+                    yield from _found(rows)
+                    last, rows = row[1], []
+                rows.append(row)
+        yield from _found(rows)
+
+    def _found(rows):
+        if rows:
+            at = rtree.search([rtree.counts_of(r[2]) for r in rows], np.array([r[4] for r in rows]), rtree.counts_of(rows[0][3]), rows[0][5])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in at], pa.int64()), pa.array([rows[k][1] for k in at], pa.int64())], ["a", "b"])
 
-    left = classes.select(F.col("sig").alias("a"), F.col("cv").alias("x"), F.col("n").alias("n_a"))
-    right = classes.select(F.col("sig").alias("b"), F.col("cv").alias("y"), F.col("n").alias("n_b"))
+    left = texts.select(F.col("sig").alias("a"), F.col("cv").alias("x"), F.col("n").alias("n_a"))
+    right = texts.select(F.col("sig").alias("b"), F.col("cv").alias("y"), F.col("n").alias("n_b"))
     near = pairs.join(left, "a").join(right, "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
     return near.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
 def _fitting(tiles: DataFrame) -> DataFrame:
-    """The rows of ``tile, sig, label, n`` whose next smaller or larger set in the tile is of a size that can link; if those are
-    not, no set of the tile is.  Points are fetched for these rows only."""
-    by_size = Window.partitionBy("tile").orderBy("n", "sig")
+    """The rows of ``tile, low, high, sig, label, n`` whose next smaller or larger set in the tile is of a size that can link; if
+    those are not, no set of the tile is.  Points are fetched for these rows only."""
+    by_size = Window.partitionBy("tile", "low", "high").orderBy("n", "sig")
     near = tiles.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
-    return near.where("100 * smaller >= 75 * n or 100 * n >= 75 * larger").select("tile", "sig", "label", "n")
+    return near.where("100 * smaller >= 75 * n or 100 * n >= 75 * larger").select("tile", "low", "high", "sig", "label", "n")
+
+
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """``tile, low, high, sig, label``: the tiles with different labels; one of over ``HELD`` sets is parted by the sets' names
+    into blocks, and every two of its blocks make a tile of their own, so that all its pairs meet and no task holds it whole."""
+    mixed = labelled.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(HELD)).cast("int").alias("blocks")).where("lo <> hi").select("tile", "blocks")
+    rows = labelled.join(mixed, "tile").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("tile", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "sig", "label")
 
 
 def _candidates(tiles: DataFrame, best: bool) -> DataFrame:
-    """``a, b``: by R-tree in each tile of ``tile, sig, label, n, cv``, pairs of different labels that may link (``best``: of any
-    two labels the likeliest one)."""
+    """``a, b``: by R-tree in each tile of ``tile, low, high, sig, label, n, cv``, pairs of different labels that may link
+    (``best``: of any two labels the likeliest one)."""
 
     def run(batches):
         tile, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != tile:
+                if row[:3] != tile:
                     yield from _joined(rows)
-                    tile, rows = row[0], []
-                rows.append(row)
+                    tile, rows = row[:3], []
+                rows.append(row[3:])
         yield from _joined(rows)
 
     def _joined(rows):
         if len(rows) < 2:
             return
-        _, labels = np.unique([r[2] for r in rows], return_inverse=True)
-        sig = np.array([r[1] for r in rows])
-        i, j = rtree.join([rtree.counts_of(r[4]) for r in rows], np.array([r[3] for r in rows]), labels, best)
+        _, labels = np.unique([r[1] for r in rows], return_inverse=True)
+        sig = np.array([r[0] for r in rows])
+        i, j = rtree.join([rtree.counts_of(r[3]) for r in rows], np.array([r[2] for r in rows]), labels, best)
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(sig[i], sig[j])), pa.array(np.minimum(sig[i], sig[j]))], ["a", "b"])
 
-    return tiles.select("tile", "sig", "label", "n", "cv").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    place = ("tile", "low", "high")
+    return tiles.select(*place, "sig", "label", "n", "cv").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -239,54 +291,94 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(top, known["root"] == top["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per input row.
-
-    ``component_id`` is the smallest doc_id that is reachable by links, the row's own included.  A null, empty or blank
-    text has 0 shingles and links with nothing (its component is its own doc_id).  Rows that repeat a doc_id count as texts
-    of their own; a null doc_id takes part, but names no component; other columns are ignored; empty in, empty out.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = materialise(_profile(docs), "jaccard-profile")
-    rows = profile.where("stripe is null").select("doc_id", "n", "sig", "cv")
-    found = materialise(_tiles(_filed(docs, _common(profile))), "jaccard-tiles")
+def _resolved(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key, n, sig`` of every row of ``docs(doc_id, key, text)``, and ``sig, first`` for the sets that several rows have
+    or that link with others: the row of the component (a struct that sorts) with the smallest doc_id, null last, then key."""
+    profile = materialise(_profile(docs, seed), "jaccard-profile")
+    bitmap = _common(profile)
+    rows = materialise(profile.where("stripe is null").select("doc_id", "key", "n", "sig", "proof"), "jaccard-rows")
+    release(profile)
+    counted = rows.where("n > 0").groupBy("sig").agg(F.min(_place()).alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("times"), (F.min("proof") != F.max("proof")).alias("torn"))
+    classes = materialise(counted, "jaccard-classes")
+    if classes.where("torn").limit(1).count():  # two different sets share a name
+        release(rows, classes)
+        return _resolved(docs, seed + 1)
+
+    found = materialise(_tiles(_filed(docs, bitmap, seed)), "jaccard-tiles")
+    tidy(docs.sparkSession)
     tiles = found.where("kind = 0").select(F.col("x").alias("tile"), F.col("y").alias("sig")).distinct()
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cv").alias("cv"))
-    needed = classes.join(found.where("kind = 0").select(F.col("y").alias("sig")).distinct(), "sig", "left_semi")
-    classes = materialise(needed, "jaccard-classes")
-
-    def own(batches):
-        for batch in batches:
-            keep = [k for k, s in enumerate(shingle_sets(raw_texts(batch.column(1)))) if _signature(s) == batch.column(0)[k].as_py()]
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    first = classes.select("sig", F.col("doc_id").alias("first_id"))
-    texts = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"])).select("sig", "text").mapInArrow(own, "sig long, text string").dropDuplicates(["sig"])
-    texts = materialise(texts, "jaccard-texts")
+    filed = found.where("kind = 0").select(F.col("y").alias("sig")).distinct()
+    texts = materialise(_texts(docs, classes.join(filed, "sig", "left_semi"), seed), "jaccard-texts")
+    tidy(docs.sparkSession)
 
     votes = found.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("votes").alias("votes"))
     best = Window.partitionBy("a").orderBy(F.col("votes").desc(), "b")
     leaders = votes.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
-    links = materialise(_linked(_bounded(leaders, classes), texts), "jaccard-links")
+    near = materialise(_led(leaders, texts), "jaccard-near")
+    tidy(docs.sparkSession)
+    links = materialise(_linked(near, texts), "jaccard-links")
     groups = materialise(components(links, "jaccard-leaders"), "jaccard-groups")
+    release(near, links)
+    tidy(docs.sparkSession)
     # Twice: first the likeliest pair of any two components in a tile, then every pair of components that are still apart.
     for likeliest in (True, False):
         labelled = tiles.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("tile", "sig", F.coalesce("root", "sig").alias("label"))
         labelled = materialise(labelled, "jaccard-labelled")
-        mixed = labelled.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tile")
-        sized = labelled.join(mixed, "tile", "left_semi").join(classes.select("sig", "n"), "sig")
-        searched = _fitting(sized).join(classes.select("sig", "cv"), "sig")
+        sized = _blocks(labelled).join(texts.select("sig", "n"), "sig")
+        searched = _fitting(sized).join(texts.select("sig", "cv"), "sig")
         pairs = materialise(_candidates(searched, likeliest).distinct(), "jaccard-pairs")
+        tidy(docs.sparkSession)
         late = materialise(_linked(pairs, texts), "jaccard-late")
         before, groups = groups, materialise(_merged(groups, late), "jaccard-groups")
         release(before, labelled, pairs, late)
-    release(found, links, texts)
-    final = groups.select(F.col("node").alias("sig"), F.col("root").alias("label"))
-
-    labels = rows.select("doc_id", "n", "sig").join(final, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sig").alias("label"))
-    least = labels.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    named = labels.join(least, "label", "left")
-    result = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-    result = materialise(result, "jaccard-result")
-    release(profile, classes, groups)
-    return result
+        tidy(docs.sparkSession)
+    release(found, texts)
+
+    # The smallest doc_id of a component comes to its classes first, so no join has a component's rows under one key.
+    named = classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").where("times > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least")
+    named = materialise(named, "jaccard-named")
+    roots = materialise(named.groupBy("root").agg(F.min("least").alias("first")), "jaccard-roots")
+    names = materialise(named.join(roots, "root").select("sig", "first"), "jaccard-names")
+    release(classes, groups, named, roots)
+    return rows.select("doc_id", "key", "n", "sig"), names
+
+
+def _place():
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+
+
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` with a hash of doc_id and text as ``q_key``."""
+    return docs.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("q_key"))
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.col("q_key").alias("key"), "text")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per input row.
+
+    ``component_id`` is the smallest doc_id that is reachable by links, the row's own included.  A null, empty or blank
+    text has 0 shingles and links with nothing (its component is its own doc_id).  Rows that repeat a doc_id count as texts
+    of their own; a null doc_id takes part, but names no component; other columns are ignored; empty in, empty out.
+    """
+    rows, names = _resolved(_slim(docs))
+    found = rows.join(names, "sig", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first.doc_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_survivors(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: that of the smallest doc_id (null last; equal ids by a hash of the text).
+
+    Rows are told apart by doc_id and text, so a row with a null or repeated doc_id goes only for what its own text links
+    with.  Of rows alike in doc_id and text the smallest by all columns stays.  Texts without words link with nothing and
+    all stay, repeated or not; all columns pass; empty in, empty out.
+    """
+    rows, names = _resolved(_slim(docs))
+    marked = rows.where("n > 0").join(names, "sig").groupBy("key", "doc_id").agg(F.max(F.col("key") != F.col("first.key")).alias("goes"), F.count(F.lit(1)).alias("times")).where("goes or times > 1")
+    marked = materialise(marked.select(F.col("key").alias("q_mark"), F.col("doc_id").alias("q_id"), "goes"), "jaccard-marked")
+    own = _keyed(docs, *(F.col(f"`{c}`") for c in docs.columns))
+    same = (F.col("q_key") == F.col("q_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("q_id"))
+    once = own.join(marked.where("not goes"), same, "left_semi").groupBy("q_key", "doc_id").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("q_row"))
+    return own.join(marked, same, "left_anti").drop("q_key").unionByName(once.select("q_row.*"))

@@ -2,7 +2,7 @@
 
 A set's tokens are hashed into groups and the group counts are its point.  The overlap of two sets is at most the sum of
 the coordinate minima of their points, and that of any sets below two nodes at most the sum of the minima of the nodes'
-upper corners.  The self-join walks pairs of nodes from the top and drops a pair if its bound, or the sizes, rule out
+upper corners.  A search walks down from the top with one set's point; the self-join walks pairs of nodes from the top and drops a pair if its bound, or the sizes, rule out
 ``100 * overlap >= 75 * union``, or if all that is below both has one label.
 """
 
@@ -37,15 +37,6 @@ def counts_of(data: bytes) -> np.ndarray:
     return counts.astype(np.uint32 if data[0] == 2 else np.uint16)
 
 
-def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
-    """Whether the points' bound admits a link of sets of ``n`` and ``m`` tokens."""
-    if 100 * min(n, m) < 75 * max(n, m):
-        return False
-    a, b = counts_of(x), counts_of(y)
-    groups = min(len(a), len(b))
-    return 175 * int(np.minimum(fold(a, groups), fold(b, groups)).sum()) >= 75 * (n + m)
-
-
 def fold(counts: np.ndarray, groups: int) -> np.ndarray:
     """The point with fewer groups (groups are the hash's low bits, so halves add up)."""
     return counts.reshape(-1, groups).sum(0) if len(counts) > groups else counts
@@ -83,6 +74,39 @@ class Level:
         return keep
 
 
+def _levels(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> list[Level]:
+    """The tree over packed points, leaves first."""
+    levels = [Level(x, sizes, sizes, labels)]
+    while len(levels[-1].least) > FAN:
+        levels.append(levels[-1].above())
+    return levels
+
+
+def search(points: list[np.ndarray], sizes: np.ndarray, point: np.ndarray, size: int) -> np.ndarray:
+    """Indices of the points whose bound with a query's ``point`` admits a link: from the top, nodes whose corner or sizes rule
+    one out are skipped.  Points of each number of groups make one tree, folded to the query's number or the query to theirs."""
+    fit = (100 * np.minimum(sizes, size) >= 75 * np.maximum(sizes, size)).nonzero()[0]
+    wide = np.array([len(points[k]) for k in fit], int)
+    found = []
+    for groups in np.unique(wide):
+        own, common = fit[wide == groups], min(int(groups), len(point))
+        if len(own) > FAN:
+            own = own[np.argsort(sizes[own], kind="stable")]
+        levels = _levels(np.stack([fold(points[k], common) for k in own]), sizes[own], np.zeros(len(own), int))
+        asked, at = fold(point, common), np.arange(len(levels[-1].least))
+        for depth in range(len(levels) - 1, -1, -1):
+            level = levels[depth]
+            some = (100 * level.most[at] >= 75 * size) & (100 * size >= 75 * level.least[at])
+            at = at[some]
+            bound = np.minimum(level.corner[at], asked).sum(1, dtype=np.int64)
+            at = at[_reach(np.minimum(level.most[at], size), level.least[at] + size, bound)]
+            if depth:
+                at = (at[:, None] * FAN + np.arange(FAN)).ravel()
+                at = at[at < len(levels[depth - 1].least)]
+        found.append(own[at])
+    return np.sort(np.concatenate(found)) if found else np.empty(0, int)
+
+
 def join(points: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j) whose bound admits a link and whose labels (0 or more) differ; with ``best`` only the pair of the
     greatest bound (relative to the sizes) of any two labels.
@@ -100,9 +124,7 @@ def join(points: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, best:
         # packing: by size class, then label, then the heaviest group, so that near points share nodes
         order = np.lexsort((x.argmax(1), labels[own], np.log2(sizes[own]).round(1)))
         own, x = own[order], x[order]
-        levels = [Level(x, sizes[own], sizes[own], labels[own])]
-        while len(levels[-1].least) > FAN:
-            levels.append(levels[-1].above())
+        levels = _levels(x, sizes[own], labels[own])
         i, j = np.triu_indices(len(levels[-1].least), 0 if len(levels) > 1 else 1)
         keep = levels[-1].open(i, j)
         i, j = i[keep], j[keep]
