@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import is_blank, tokens
-from quillmark.plans.sizes import sent_if_small
+from quillmark.plans.sizes import hash_filter, sent_if_small
+from quillmark.sources.scratch import materialise
 
 K1, B = 1.5, 0.75
 
@@ -30,19 +31,31 @@ def _tokenised(docs: DataFrame, doc_ord: str, text: str, lexicon) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, doc_ord: str = "doc_id", text: str = "text", lexicon=None) -> DataFrame:
     """``n, avgdl``: texts and their mean length in tokens (0 for an empty corpus)."""
-    return _tokenised(docs, doc_ord, text, lexicon).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return _stats(_tokenised(docs, doc_ord, text, lexicon))
+
+
+def _stats(tokenised: DataFrame) -> DataFrame:
+    return tokenised.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def fit(docs: DataFrame, doc_ord: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, lexicon=None, only: DataFrame | None = None) -> Bm25:
-    """Index ``docs``.  ``only(term)`` keeps the postings of these terms: all that a known set of questions needs, so that
-    the corpus's other tokens are dropped before the shuffle.  Statistics cover the whole corpus either way."""
+    """Index ``docs``.  ``only(term)`` keeps the postings of these terms: all that a known set of questions needs.  Each text is
+    then tokenised once: what is kept of it (its length, and its tokens that may be asked for) is written, and all else comes
+    from there.  Statistics cover the whole corpus either way."""
     base = _tokenised(docs, doc_ord, text, lexicon)
-    stats = corpus_stats(docs, doc_ord, text, lexicon)
-    words = base.select("doc_ord", "dl", F.explode("tokens").alias("term"))
     if only is not None:
-        words = words.join(sent_if_small(only), "term", "left_semi")
-    postings = words.groupBy("doc_ord", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        asked = hash_filter(only, "term")
+        kept = F.filter("tokens", lambda t: asked(F.xxhash64(t))) if asked else F.col("tokens")
+        base = materialise(base.select("doc_ord", kept.alias("tokens"), "dl"), "bm25-tokens")
+    stats = _stats(base)
+    each = base.select("doc_ord", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
+    if only is not None:
+        each = each.join(sent_if_small(only), "term", "left_semi")
+    if only is not None:  # a document's few tokens are one row, so their counts need no shuffle
+        postings = each.select("doc_ord", "term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).cast("long").alias("tf"), "dl")
+    else:
+        postings = base.select("doc_ord", "dl", F.explode("tokens").alias("term")).groupBy("doc_ord", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     # stats is one row
     terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf.alias("idf"))
@@ -56,7 +69,10 @@ def query_terms(queries: DataFrame, lexicon=None) -> DataFrame:
 
 def scores(index: Bm25, queries: DataFrame, lexicon=None) -> DataFrame:
     """``query_id, doc_ord, score`` of every pair that shares a term (all scores are above 0); repeats in a question count."""
-    asked = sent_if_small(query_terms(queries, lexicon).join(index.terms, "term"))
+    terms = query_terms(queries, lexicon)
+    asked = terms.join(index.terms, "term")
+    # a term has one row in the index, so the join has no more rows than the questions' terms, which alone are counted
+    asked = F.broadcast(asked) if sent_if_small(terms) is not terms else asked
     tf, dl = F.col("tf"), F.col("dl")
     weight = F.col("qtf") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * dl / F.col("avgdl")))
     joined = index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))

@@ -64,7 +64,8 @@ def variants(cleaned: Column, expansions: Column) -> Column:
 
 def enhance(queries: DataFrame, current_year: int, table: dict[str, list[str]] | None = None, instruction: str = QUESTION_INSTRUCTION) -> DataFrame:
     """``queries(query_id, query)`` with ``cleaned, entities, synonyms, query_variants, vector_query, keyword_query, year_gte,
-    journal_keyword, log``.  A null question is empty."""
+    journal_keyword, log``.  A null question is empty.  Equal questions are read once."""
+    every, queries = queries, queries.select("query").distinct()
     out = queries.withColumn("cleaned", clean_query("query"))
     out = out.withColumn("entities", entities("cleaned")).withColumn("synonyms", synonyms(table)(F.col("cleaned")))
     out = out.withColumn("query_variants", variants(F.col("cleaned"), F.col("synonyms")))
@@ -76,4 +77,5 @@ def enhance(queries: DataFrame, current_year: int, table: dict[str, list[str]] |
         F.concat(F.lit("synonyms: "), F.size("synonyms").cast("string")), F.concat(F.lit("variants: "), F.size("query_variants").cast("string")),
         F.concat(F.lit("year_gte: "), present("year_gte")), F.concat(F.lit("journal: "), present("journal_keyword")),
     )
-    return out.withColumn("log", log)
+    done = out.withColumn("log", log).withColumnRenamed("query", "q_query")
+    return every.join(done, F.col("query").eqNullSafe(F.col("q_query"))).drop("q_query")
