@@ -103,16 +103,18 @@ def extract_json(c: Column | str) -> Column:
     return F.coalesce(parsed, F.try_parse_json(F.nullif(F.replace(body, F.lit("'"), F.lit('"')), F.lit(""))))
 
 
+# Sentence ends in order of preference.
+SENTENCE_ENDS = ["。", "？", "！", ";\n", "!\n", "?\n", ".\n", ". ", "! ", "? "]
+
+
 def truncate_at_sentence(c: Column | str, target: int) -> Column:
     """Cut to ``target`` characters, after the last of the first kind of sentence end that stands in the last tenth; without
     one a hard cut, right-trimmed."""
-    # Sentence ends in order of preference.
-    ends = ["。", "？", "！", ";\n", "!\n", "?\n", ".\n", ". ", "! ", "? "]
     text, window = present(c), max(1, target // 10)
     start = target - window
     region = F.substring(text, start + 1, window)
     out = F.regexp_replace(F.substring(text, 1, target), r"(?U)[\s\x1c-\x1f]+\z", "")
-    for mark in reversed(ends):
+    for mark in reversed(SENTENCE_ENDS):
         # position of the last occurrence, counted from the end of the reversed region
         back = F.instr(F.reverse(region), F.reverse(F.lit(mark)))
         out = F.when(back > 0, F.substring(text, F.lit(1), F.lit(start + window + 1) - back)).otherwise(out)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import is_blank, present
+from quillmark.plans.sizes import sent_if_small, value_filter
 
-LIMIT = 512
+#: Token limit of the embedder, and words that a passage is looked for by.
+LIMIT, PROBE = 512, 6
 # What abstracts' parts are recognised by, and capital words that are no abbreviations of the field.
 IMRAD = {"background": ("background", "introduction", "目的"), "methods": ("method", "approach", "材料与方法", "方法"), "results": ("result", "finding", "结果"), "conclusion": ("conclusion", "结论")}
 NO_ABBREVIATION = ("THE", "AND", "FOR", "WITH", "FROM", "THAT", "THIS", "WERE", "BEEN", "HAVE", "HAS", "WAS", "ARE", "BUT", "NOT", "ALL", "CAN", "USA", "DNA", "RNA", "PCR")
@@ -98,6 +100,23 @@ def histogram(lengths: DataFrame, column: str = "length", width: int = 100) -> D
     return lengths.groupBy((F.floor(F.col(column) / width) * width).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def box_stats(lengths: DataFrame, column: str = "length") -> DataFrame:
+    """``q1, median, q3, low, high, outliers``: quartiles (linear interpolation), the least and greatest value within 1.5 times the
+    quartiles' distance of them, and how many values lie beyond."""
+    c = F.col(column)
+    box = lengths.agg(*[F.percentile(c, q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (c >= F.col("q1") - reach) & (c <= F.col("q3") + reach)
+    both = lengths.select(c).crossJoin(F.broadcast(box))  # one row
+    return both.groupBy("q1", "median", "q3").agg(F.min(F.when(inside, c)).cast("long").alias("low"), F.max(F.when(inside, c)).cast("long").alias("high"), F.count_if(~inside).alias("outliers"))
+
+
+def index_stats(chunks: DataFrame, name: str, model: str, dim: int) -> DataFrame:
+    """One row about an index: its name, model and dimension, ``total_chunks`` and the token counts' mean, greatest and least."""
+    counts = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.round(F.avg("token_count"), 6).alias("mean_tokens"), F.max("token_count").cast("long").alias("max_tokens"), F.min("token_count").cast("long").alias("min_tokens"))
+    return counts.select(F.lit(name).alias("collection_name"), F.lit(model).alias("embedding_model"), F.lit(dim).alias("embedding_dimension"), *counts.columns)
+
+
 def chunk_quality(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row about ``doc_id, chunk_index, total_chunks, token_count, text, source_title``."""
     text = present("text")
@@ -129,6 +148,12 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks")).withColumn("chunks_per_doc", F.round(F.col("chunks") / F.col("documents"), 2))
 
 
+def per_query(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """``query_id, n_returned, top1``: of every question how many hits ``hits(query_id, rank, doc_ord)`` it has and the first one."""
+    got = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_returned"), F.min_by("doc_ord", "rank").alias("top1"))
+    return queries.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("n_returned", F.lit(0)).alias("n_returned"), "top1")
+
+
 def evaluation(results: DataFrame) -> DataFrame:
     """One row about ``query_id, n_returned, latency_ms``: totals, success, rows returned (not recall) and latency."""
     return results.agg(
@@ -137,6 +162,29 @@ def evaluation(results: DataFrame) -> DataFrame:
     )
 
 
+def holding(docs: DataFrame, passages: DataFrame, doc_ord: str = "doc_id", text: str = "text") -> DataFrame:
+    """``query_id, doc_ord``: the documents whose text contains a passage of ``passages(query_id, query)``.
+
+    Candidates share the passage's hash of ``PROBE`` whole words (a literal filter passes over the texts once, and a join finds
+    the pairs), and are then searched.  Passages of fewer words are searched for in all texts; null and empty ones in none.
+    """
+    words = lambda c: F.split(F.col(c), r"\s+")
+    # the first and the last word may be parts of longer ones in a text
+    asked = passages.where("query is not null and query <> ''").select("query_id", "query", words("query").alias("q_words"))
+    long = asked.where(F.size("q_words") >= PROBE + 2).select("query_id", "query", F.xxhash64(F.slice("q_words", 2, PROBE)).alias("q_probe"))
+    own = docs.where(F.col(text).isNotNull()).select(F.col(doc_ord).alias("doc_ord"), F.col(text).alias("q_text"))
+    split = own.withColumn("q_words", words("q_text"))
+    probes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("q_words") - PROBE + 1)), lambda i: F.xxhash64(F.slice("q_words", i, PROBE)))
+    named = long.withColumnRenamed("q_probe", "q_value")
+    known = value_filter(named, "q_value")
+    kept = F.array_distinct(F.filter(probes, known) if known else probes)
+    met = split.select("doc_ord", "q_text", F.explode(kept).alias("q_value")).join(sent_if_small(named), "q_value")
+    found = met.where(F.contains("q_text", F.col("query"))).select("query_id", "doc_ord")
+    short = sent_if_small(asked.where(F.size("q_words") < PROBE + 2).select("query_id", "query"))
+    rest = own.join(short, F.contains(F.col("q_text"), F.col("query"))).select("query_id", "doc_ord")
+    return found.unionByName(rest).distinct()
+
+
 def hit_at_k(hits: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
     """``queries, hits, hit_rate``: questions of ``truth(query_id, doc_ord)`` with a true document among their best ``k``."""
     top = hits.where(F.col("rank") <= k).select("query_id", "doc_ord").distinct()
@@ -144,6 +192,13 @@ def hit_at_k(hits: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 
+def run_totals(metrics: DataFrame) -> DataFrame:
+    """``runs, mean_seconds, mean_answer_length, total_tokens`` of rows ``total_time_seconds, answer_length, token_counts
+    map<string,int>`` (a null map counts nothing)."""
+    tokens = F.aggregate(F.map_values(F.coalesce("token_counts", F.create_map().cast("map<string,int>"))), F.lit(0).cast("long"), lambda s, v: s + v)
+    return metrics.agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("total_time_seconds"), 2).alias("mean_seconds"), F.round(F.avg("answer_length"), 2).alias("mean_answer_length"), F.coalesce(F.sum(tokens), F.lit(0)).alias("total_tokens"))
+
+
 def run_summary(metrics: DataFrame) -> DataFrame:
     """``stage, runs, success_pct``: from rows with ``stage_success map<string,boolean>``."""
     rows = metrics.select(F.explode("stage_success").alias("stage", "ok"))

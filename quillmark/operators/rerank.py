@@ -2,15 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.ranking import authority, recency
-from quillmark.functions.text import filled
+from quillmark.functions.text import ascii_tokens, filled
 
 WEIGHTS = {"relevance": 0.6, "recency": 0.25, "authority": 0.15}
 
 
+class Reranker(Protocol):
+    """Adds ``relevance double`` to candidates that have the question's and the document's text."""
+
+    def score(self, cands: DataFrame, query: str = "query", text: str = "text") -> DataFrame: ...
+
+
+class OverlapReranker:
+    """A deterministic stand-in for a model (column functions): the share of the question's distinct tokens that a text has."""
+
+    def score(self, cands: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
+        asked, own = F.array_distinct(ascii_tokens(query)), ascii_tokens(text)
+        return cands.withColumn("relevance", F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, own)) / F.size(asked)).otherwise(F.lit(0.0)))
+
+
+class PairReranker:
+    """A model of pairs: ``predict([(question, text), ...]) -> scores``, made once a Python worker by ``make`` and called with a
+    batch of pairs at a time; nulls are empty texts."""
+
+    def __init__(self, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 64):
+        self.make, self.batch = make, batch
+
+    def score(self, cands: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
+        make, batch = self.make, self.batch
+
+        @F.pandas_udf("double")
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            predict = make()
+            for questions, texts in parts:
+                pairs = list(zip(questions.fillna(""), texts.fillna(""), strict=True))
+                yield pd.Series([float(s) for at in range(0, len(pairs), batch) for s in predict(pairs[at : at + batch])], dtype=float)
+
+        return cands.withColumn("relevance", run(F.col(query), F.col(text)))
+
+
+def plain_rerank(cands: DataFrame, top_n: int | None = 5) -> DataFrame:
+    """``cands`` (query_id, rank, relevance) with ``final_rank`` by relevance, ties by ``rank``; ``top_n=None`` keeps all."""
+    ranked = cands.withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "rank")))
+    return ranked if top_n is None else ranked.where(F.col("final_rank") <= top_n)
+
+
 def checked_weights(weights: dict[str, float]) -> dict[str, float]:
     """The three criteria's weights, or an error."""
     if not isinstance(weights, dict):

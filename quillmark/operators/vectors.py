@@ -6,12 +6,14 @@ from functools import reduce
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors that are multiplied at once, and the most that go to the tasks as one matrix.
 BLOCK, MOST = 256, 20_000
+# What is put before a text by the two embedders.
 SENTENCE_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 QUESTION_INSTRUCTION = "Represent this question for searching relevant passages: "
 
@@ -37,6 +39,41 @@ class HashingEmbedder:
         return counts.withColumn("embedding", l2_normalised(F.col("embedding"))).drop("q_h")
 
 
+class HttpEmbedder:
+    """Asks a service for every text: ``post(url, {"model", "prompt"})`` answers ``{"embedding": [...]}``.  One request a text, in
+    Arrow batches; a request that fails after ``retries`` more tries fails its task, which runs again."""
+
+    def __init__(self, url: str, model: str, retries: int = 2, timeout: float = 60.0, post=None):
+        self.url, self.model, self.retries, self.timeout, self.post = url, model, retries, timeout, post
+
+    def embed(self, df: DataFrame, text: str, instruction: str = "") -> DataFrame:
+        url, model, retries, timeout, post = self.url, self.model, self.retries, self.timeout, self.post or _post
+
+        @F.pandas_udf("array<float>")
+        def ask(texts: pd.Series) -> pd.Series:
+            out = []
+            for t in texts:
+                for left in range(retries, -1, -1):
+                    try:
+                        out.append([float(x) for x in post(url, {"model": model, "prompt": instruction + (t or "")}, timeout)["embedding"]])
+                        break
+                    except OSError:
+                        if not left:
+                            raise
+            return pd.Series(out)
+
+        return df.withColumn("embedding", ask(F.col(text)))
+
+
+def _post(url: str, body: dict, timeout: float) -> dict:
+    import json
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})  # noqa: S310
+    with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+        return json.load(answer)
+
+
 def l2_normalised(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.transform(v, lambda x: F.when(norm > 0, (x.cast("double") / norm)).otherwise(F.lit(0.0)).cast("float"))

@@ -65,6 +65,24 @@ def scan_xml(spark: SparkSession, path: str, max_files: int | None = None) -> Da
     return files.orderBy("path").limit(max_files) if max_files else files
 
 
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``path, xml``: the ``*.xml`` members of all tar archives (plain or compressed) below a folder, in place of ``scan_xml``.
+    One archive is unpacked by one task, member by member."""
+    import io
+    import tarfile
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, data in zip(frame["path"], frame["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(data)) as archive:
+                    for member in archive:
+                        if member.isfile() and member.name.lower().endswith(".xml"):
+                            yield pd.DataFrame({"path": [f"{name}/{member.name}"], "xml": [archive.extractfile(member).read().decode("utf-8", "replace")]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(r"lower(path) rlike '\\.(tar|tgz|tar\\.gz|tar\\.bz2|tar\\.xz)$'")
+    return files.select("path", "content").mapInPandas(run, "path string, xml string")
+
+
 def _parsed(files: DataFrame, parse, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -90,8 +108,8 @@ def load_articles(spark: SparkSession, path: str, max_files: int | None = None)
     return rows.withColumn("doc_id", F.coalesce(filled("pmid"), F.regexp_replace("source_file", r"(?i)\.xml$", "")))
 
 
-def load_documents(spark: SparkSession, path: str, max_files: int | None = 50) -> DataFrame:
-    """Structured documents; blank ones go."""
+def load_documents(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Structured documents of all files (``max_files``: of the first by path); blank ones go."""
     return _parsed(scan_xml(spark, path, max_files), parse_structured, DOCUMENT).where("error is not null or trim(content) <> ''")
 
 
@@ -104,10 +122,32 @@ def write_chunks(chunks: DataFrame, folder: str) -> None:
     corpus_counts(chunks).write.mode("overwrite").json(f"{folder}/stats.json")
 
 
-def write_vectors(chunks: DataFrame, embedder, folder: str) -> None:
-    """The vector collection, made anew: ids, embeddings, texts and metadata (titles up to 200 characters)."""
-    embedded = embedder.embed(chunks, "text")
-    embedded.select(F.col("chunk_id").alias("id"), "embedding", F.col("text").alias("document"), "doc_id", "chunk_index", "total_chunks", F.substring(present("source_title"), 1, 200).alias("source_title"), "token_count", "split_method").write.mode("overwrite").parquet(folder)
+METRICS = ("cosine", "l2")
+
+
+def write_vectors(chunks: DataFrame, embedder, folder: str, metric: str = "cosine") -> None:
+    """The vector collection, made anew: ids, embeddings, texts and metadata (titles up to 200 characters), and the metric that
+    its vectors are compared by (``cosine``, or ``l2`` as stores without a stated metric have it)."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    embedded = embedder.embed(chunks, "text").withColumn("metric", F.lit(metric))
+    embedded.select(F.col("chunk_id").alias("id"), "embedding", F.col("text").alias("document"), "doc_id", "chunk_index", "total_chunks", F.substring(present("source_title"), 1, 200).alias("source_title"), "token_count", "split_method", "metric").write.mode("overwrite").parquet(folder)
+
+
+def collection_metric(vectors: DataFrame) -> str:
+    """The metric that a collection was written for; ``l2`` if it states none."""
+    row = vectors.select("metric").limit(1).collect() if "metric" in vectors.columns else []
+    return row[0][0] if row else "l2"
+
+
+def collection_peek(vectors: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
+    """The first ``n`` entries by key."""
+    return vectors.orderBy(key).limit(n)
+
+
+def collection_sources(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``source``: the distinct sources, null and empty ones left out."""
+    return vectors.select(filled(F.col(key).cast("string")).alias("source")).where("source is not null").distinct()
 
 
 def collection_summary(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -133,6 +173,26 @@ def append_metrics(metrics: DataFrame, folder: str) -> bool:
     return True
 
 
+def write_report(report: DataFrame, folder: str) -> None:
+    """A report of one row or a few (quality, evaluation, index) as JSON lines, made anew; nulls are written out."""
+    report.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
+def write_cache(cache: DataFrame, folder: str) -> bool:
+    """A cache ``key, text, last_used`` as JSON lines, made anew (by way of the shared scratch folder, as it may be read from
+    there); a folder that cannot be written does not fail the run."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    from quillmark.sources.scratch import materialise
+
+    try:
+        materialise(cache.select("key", "text", "last_used"), "cache").write.mode("overwrite").json(folder)
+    except (PySparkException, Py4JJavaError):
+        return False
+    return True
+
+
 def read_cache(spark: SparkSession, path: str, size: int = 32) -> DataFrame:
     """A cache of JSON lines ``key, text, last_used``; corrupt lines are skipped, the last ``size`` entries stay."""
     from quillmark.operators.generate import evicted
