@@ -48,14 +48,12 @@ def fit(docs: DataFrame, doc_ord: str = "doc_id", text: str = "text", k1: float
         kept = F.filter("tokens", lambda t: asked(F.xxhash64(t))) if asked else F.col("tokens")
         base = materialise(base.select("doc_ord", kept.alias("tokens"), "dl"), "bm25-tokens")
     stats = _stats(base)
-    each = base.select("doc_ord", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
+    words, distinct = (base.select("doc_ord", "dl", F.explode(t).alias("term")) for t in ("tokens", F.array_distinct("tokens")))
     if only is not None:
-        each = each.join(sent_if_small(only), "term", "left_semi")
-    if only is not None:  # a document's few tokens are one row, so their counts need no shuffle
-        postings = each.select("doc_ord", "term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).cast("long").alias("tf"), "dl")
-    else:
-        postings = base.select("doc_ord", "dl", F.explode("tokens").alias("term")).groupBy("doc_ord", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        small = sent_if_small(only)
+        words, distinct = words.join(small, "term", "left_semi"), distinct.join(small, "term", "left_semi")
+    postings = words.groupBy("doc_ord", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     # stats is one row
     terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf.alias("idf"))
