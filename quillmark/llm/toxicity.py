@@ -80,18 +80,29 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def _coded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Row and feature of every word and stem that a document has (each pair once), and the features' names."""
+def _coded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and feature of every word and stem that a document has (each pair once), and the features' names.  Numbers and Arrow
+    strings only: the vocabulary is many times the features that are kept."""
     start, end = words.offsets[0].as_py(), words.offsets[-1].as_py()
     coded = pc.dictionary_encode(words.values.slice(start, end - start))
-    names = coded.dictionary.to_pylist()
-    stems = [stem_of(w) for w in names]
-    known = {s: len(names) + i for i, s in enumerate(sorted({s for s in stems if s}))}
-    code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-    stem = np.array([known[s] if s else -1 for s in stems], np.int64)[code] if len(code) else np.empty(0, np.int64)
-    names += list(known)
-    pairs = np.unique(np.concatenate([row * len(names) + code, (row * len(names) + stem)[stem >= 0]]))
-    return pairs // max(1, len(names)), pairs % max(1, len(names)), names
+    code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(words), dtype=np.int32), np.diff(words.offsets.to_numpy()))
+    vocabulary = coded.dictionary
+    stemmed = pc.and_(pc.greater(pc.utf8_length(vocabulary), STEM), pc.invert(pc.is_in(vocabulary, value_set=pa.array(sorted(_NAMED)))))
+    stems = pc.dictionary_encode(pc.if_else(stemmed, pc.binary_join_element_wise(pc.utf8_slice_codeunits(vocabulary, 0, STEM), "*", ""), None))
+    stem = stems.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    n, kinds = len(vocabulary), max(1, len(stems.dictionary))
+    of_word = stem[code] if len(code) else code
+    pairs = np.unique(row[of_word >= 0] * np.int64(kinds) + of_word[of_word >= 0])
+    return np.concatenate([row, (pairs // kinds).astype(np.int32)]), np.concatenate([code, (pairs % kinds + n).astype(np.int32)]), pa.concat_arrays([vocabulary, stems.dictionary])
+
+
+def _least_chi2(candidates: int) -> float:
+    """The chi-square (one degree of freedom) that less than one of so many candidates reaches by chance."""
+    low, high = 0.0, 1500.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if candidates * math.erfc(math.sqrt(mid / 2)) >= 1 else (low, mid)
+    return high
 
 
 def _swaps(row: np.ndarray, code: np.ndarray, groups: list[list[int]], d: int, n: int) -> np.ndarray:
@@ -151,22 +162,24 @@ def fit(words: pa.ListArray, labels: np.ndarray, ridge: float = RIDGE, swap: flo
         return Model({}, float(np.log(rate / (1 - rate))))
     row, code, names = _coded(words)
     seen = np.bincount(code, minlength=len(names)).astype(float)
-    hit = np.bincount(code, weights=labels[row], minlength=len(names))
+    hit = np.bincount(code[labels[row] > 0], minlength=len(names)).astype(float)
     expected = seen * positive / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num((hit - expected) ** 2 / expected + (hit - expected) ** 2 / (seen - expected)) / np.maximum(1 - seen / n, 1e-9)
-    # how many of all candidates would reach this chi-square (one degree of freedom) by chance
-    by_chance = np.array([len(names) * math.erfc(math.sqrt(c / 2)) for c in chi2])
-    chosen = sorted((k for k in range(len(names)) if by_chance[k] < 1 or names[k] in _NAMED), key=lambda k: names[k])
+    named = pc.is_in(names, value_set=pa.array(sorted(_NAMED))).to_numpy(zero_copy_only=False)
+    found = np.flatnonzero((chi2 >= _least_chi2(len(names))) | named)
+    known = names.take(pa.array(found)).to_pylist()
+    order = sorted(range(len(found)), key=known.__getitem__)
+    chosen, known = found[order], [known[k] for k in order]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     kept = place[code] >= 0
     row, code, d = row[kept], place[code[kept]], len(chosen)
-    at = {names[k]: i for i, k in enumerate(chosen)}
+    at = {name: i for i, name in enumerate(known)}
     groups = [[at[t] for t in terms if t in at] for terms in IDENTITY.values()]
     penalty = np.eye(d) * ridge + 2 * swap * _swaps(row, code, groups, d, n)
     w = _minimum(row, code, labels, penalty)
-    return Model({names[k]: round(float(v), 9) for k, v in zip(chosen, w[:d], strict=True)}, round(float(w[d]), 9))
+    return Model({name: round(float(v), 9) for name, v in zip(known, w[:d], strict=True)}, round(float(w[d]), 9))
 
 
 def _fold(doc_id) -> int:
@@ -191,17 +204,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
     # ``sample`` has at most ``rows`` rows, so it can be sent to every executor.
     once = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-    found = once.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, words array<string>").toArrow()
+    words = once.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, words array<string>")
+    # copies of a text with one label count once
+    found = words.groupBy("words", "toxic").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").select("words", "toxic").toArrow()
     if not found.num_rows:
         return fit(pa.array([], pa.list_(pa.string())), np.zeros(0))
-    # copies of a text with one label count once
-    found = found.sort_by("doc_id")
-    texts_ = pc.dictionary_encode(pc.binary_join(found.column("words"), " ").combine_chunks()).indices.to_numpy()
-    _, once = np.unique(texts_ * 2 + (found.column("toxic").to_numpy() > 0), return_index=True)
-    found = found.take(pa.array(np.sort(once)))
-    words = found.column("words").combine_chunks()
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-    return fit(words, (found.column("toxic").to_numpy() > 0).astype(float))
+    lists = found.column("words").combine_chunks()
+    model = fit(lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists, (found.column("toxic").to_numpy() > 0).astype(float))
+    del found, lists
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
