@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.chunk_bpe import bpe_round_trip
 from quillmark.llm.chunk_dedup import dedup_substrings
-from quillmark.llm.jaccard_join import jaccard_components
+from quillmark.llm.jaccard_join import jaccard_survivors
 from quillmark.llm.mixing import mix_sources
 from quillmark.llm.queries import tokenizer_path
 from quillmark.llm.toxicity import score_toxicity, train
@@ -15,31 +15,33 @@ from quillmark.sources.scratch import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score 0.5 or more) go; it is fitted on the labels of the training folds."""
+    """Documents that the classifier rejects (score 0.5 or more) go; it is fitted on the labels of the training folds.  Every
+    row is judged by its own text: null and repeated ids and repeated rows change nothing, a null text is empty."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of linked texts the document with the smallest doc_id stays."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    gone = found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """Of every component of linked texts one row stays: the smallest doc_id's, null last.  Rows are told apart by doc_id and
+    text, so null and repeated ids lose no text of their own; texts without words all stay; an empty table stays empty."""
+    return jaccard_survivors(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of the texts."""
+    """Passages that an earlier document has are cut out of the texts (of rows with a null id, the largest, each is judged by its
+    own text).  Every row stays, a text of which nothing is left as an empty one; null texts stay null."""
     return dedup_substrings(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is repeated as often as the mix of its source takes it (also not at all)."""
+    """Every row is repeated as often as the mix of its source takes it (also not at all); a null source is a source of its own,
+    rows that tie are ordered by a hash of the text, and a text without words is taken like any other."""
     mixed = mix_sources(docs).where("copies > 0")
     return mixed.withColumn("q_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token counts and digests of every row of the mix, repeats included; a null text is empty."""
     return bpe_round_trip(docs, tokenizer_path("word_bpe_49k.json"))
 
 
