@@ -414,15 +414,9 @@ def year_and_length(spark, d):
     return profile.year_and_length(_docs(spark, d))
 
 
-@_query(f"""SELECT value, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '\\b[A-Z]{{2,}}\\b')) AS value FROM documents WHERE lang = 'en')
-WHERE length(value) >= 3 AND value NOT IN ({', '.join(repr(w) for w in profile.NO_ABBREVIATION)}) GROUP BY value ORDER BY n DESC, value LIMIT 15""")
-def abbreviation_topk(spark, d):
-    return profile.abbreviations(_t(spark, d, "documents").where("lang = 'en'"))
-
-
 @_query(f"""SELECT value, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS value FROM documents)
 WHERE regexp_full_match(value, '[A-Z]{{3,}}') AND value NOT IN ({', '.join(repr(w) for w in profile.NO_ABBREVIATION)}) GROUP BY value ORDER BY n DESC, value LIMIT 15""")
-def abbreviation_topk_all(spark, d):
+def abbreviation_topk(spark, d):
     return profile.abbreviations(_t(spark, d, "documents"))
 
 
@@ -575,18 +569,10 @@ def query_enhance(spark, d):
 
 # Context ------------------------------------------------------------------------------------------------------------
 def _chunks(spark, d) -> DataFrame:
-    return _knn_cands(spark, d).select("query_id", F.col("rank").alias("ord"), F.substring("text", 1, 2000).alias("text"), "relevance", "source", F.col("doc_ord").cast("string").alias("pmid"), F.col("doc_ord").cast("string").alias("chunk_id"), F.col("doc_ord").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "title", "year", "journal")
-
-
-CHUNKS = f"{KNN_CANDS}, chunks AS (SELECT query_id, rank AS ord, substring(text, 1, 2000) AS text, relevance, source, doc_ord::VARCHAR AS pmid, title, year, journal FROM cands)"
-
+    return _knn_cands(spark, d).select("query_id", F.col("rank").alias("ord"), "text", "relevance", "source", F.col("doc_ord").cast("string").alias("pmid"), F.col("doc_ord").cast("string").alias("chunk_id"), F.col("doc_ord").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "title", "year", "journal")
 
-def _whole_chunks(spark, d) -> DataFrame:
-    """The candidates' whole texts as chunks; ``_chunks`` has the first 2000 characters, as its SQL fixes them."""
-    return _knn_cands(spark, d).select("query_id", F.col("rank").alias("ord"), "text")
 
-
-WHOLE_CHUNKS = f"{KNN_CANDS}, chunks AS (SELECT query_id, rank AS ord, text FROM cands)"
+CHUNKS = f"{KNN_CANDS}, chunks AS (SELECT query_id, rank AS ord, text, relevance, source, doc_ord::VARCHAR AS pmid, title, year, journal FROM cands)"
 
 
 def _window_chunks(spark, d) -> DataFrame:
@@ -609,13 +595,6 @@ def jaccard_pairs(spark, d):
     return context.near_pairs(_chunks(spark, d), 0.2).select("query_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@_query(f"""WITH {WHOLE_CHUNKS}, sets AS (SELECT query_id, ord, list_distinct(regexp_extract_all(text, '[一-鿿]{{2}}|[A-Za-z]+|\\d+')) AS s FROM chunks),
-p AS (SELECT x.query_id, x.ord AS a, y.ord AS b, round(len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 9) AS jaccard FROM sets x JOIN sets y ON x.query_id = y.query_id AND x.ord < y.ord WHERE len(x.s) > 0 AND len(y.s) > 0)
-SELECT query_id, a, b, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= 0.2""")
-def jaccard_pairs_whole(spark, d):
-    return context.near_pairs(_whole_chunks(spark, d), 0.2).select("query_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
-
-
 DIVERSE = f"""{CHUNKS}, nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY relevance DESC, ord) - 1 AS n FROM chunks),
 scored AS (SELECT *, CASE WHEN n >= 3 THEN 0 ELSE round(relevance * pow(0.85::DOUBLE, n), 9) END AS ds FROM nth),
 diverse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ds DESC, relevance DESC, ord) AS diverse_rank FROM scored)"""
@@ -775,12 +754,6 @@ def cache_keys(spark, d):
     return _questions(spark, d).select("query_id", generate.cache_key(F.col("query"), generate.STAGES["draft"]).alias("cache_key"))
 
 
-@_query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN length(text) END AS whole FROM documents WHERE length(text) <= 400")
-def truncate_short(spark, d):
-    cut = _t(spark, d, "documents").where(F.length("text") <= 400).select("doc_id", F.length(text.truncate_at_sentence("text", 400)).alias("whole"))
-    return cut
-
-
 @_query(f"SELECT doc_id, md5({_cut_sql(400)}) AS digest FROM documents")
 def truncate_sentence_end(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(text.truncate_at_sentence("text", 400)).alias("digest"))

@@ -41,7 +41,7 @@ def test_contexts_hold_later_text(spark, tmp_path):
     late = " ".join(f"late{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
     spark.createDataFrame([(0, "x " * 1100 + late, "a"), (1, "y " * 1100 + late, "b")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert [(r["a"], r["b"]) for r in registry.QUERIES["jaccard_pairs_whole"](spark, str(tmp_path)).collect()] == [(1, 2)]
+    assert [(r["a"], r["b"]) for r in registry.QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect()] == [(1, 2)]
     windows = registry._window_chunks(spark, str(tmp_path)).orderBy("ord").collect()
     assert [r["ord"] for r in windows] == list(range(1, len(windows) + 1)) and {w for r in windows for w in r["text"].split()} == {"x", "y", *late.split()}
     row = registry.QUERIES["context_assemble"](spark, str(tmp_path)).collect()[0]
@@ -91,4 +91,4 @@ def test_abbreviations_of_all_documents_by_brute_force(spark, tmp_path):
     for d in (str(tmp_path), DIR):
         counts = Counter(w for r in spark.read.parquet(f"{d}/documents.parquet").collect() for w in re.findall(r"\b[A-Z]{2,}\b", r["text"] or "") if len(w) >= 3 and w not in NO_ABBREVIATION)
         want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:15]
-        assert [tuple(r) for r in registry.QUERIES["abbreviation_topk_all"](spark, d).collect()] == want
+        assert [tuple(r) for r in registry.QUERIES["abbreviation_topk"](spark, d).collect()] == want
