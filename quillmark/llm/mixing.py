@@ -5,8 +5,9 @@ documents the expected copies are summed, one offset in [0, 1) is added, and a d
 number that its share of the running sum crosses.  The order goes by size class, so that what is taken of a source misses
 its target by about one document's size at most.
 
-A source can hold a third of all rows, so no window runs over a source: documents are ranked inside cells
-(source, size class, doc_id mod ``SALT``), whose counts are summed per source over at most ``64 * 32 * SALT`` cells.
+A source can hold a third of all rows, so no window runs over a source's rows: documents are ranked inside cells (source,
+size class, salt), whose counts are summed in two steps, along the salts of a class and along the classes of a source.
+The salt is a hash of the doc_id, and there are as many as keep a cell at about ``CELL`` rows even if all sizes are equal.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights by the rank of the source, repeating; most copies of a document; cells of one size class.
-WEIGHTS, MOST, SALT = (5, 2, 1), 3, 64
+#: Weights by the rank of the source, repeating; most copies of a document; least cells of one size class, and their rows.
+WEIGHTS, MOST, SALT, CELL = (5, 2, 1), 3, 64, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,6 +32,12 @@ def _size_class(size: Column) -> Column:
     return shift.cast("long") * 64 + F.call_function("shiftright", size, shift.cast("int"))
 
 
+def _salt(salts: int) -> Column:
+    """Which of the cells a doc_id is in (null as 0), by 32 bits of its MD5."""
+    name = F.md5(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).cast("string"))
+    return F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % salts
+
+
 def offset_of(source: Column) -> Column:
     """The source's offset in [0, 1): 32 bits of a SHA-256 of its name (``n`` before a null, ``s`` before a name)."""
     name = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
@@ -68,15 +75,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     names = ("size", "source_size", "target", "copies", "taken")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     sized = docs.select(*kept, size_of().alias("size"))
+    salts = max(SALT, -(-docs.count() // CELL))
     # Only what the sums need is read for the targets and the cells.
-    slim = docs.select("source", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(SALT)).alias("q_salt"), size_of().alias("size")).withColumn("q_class", _size_class(F.col("size")))
+    slim = docs.select("source", _salt(salts).alias("q_salt"), size_of().alias("size")).withColumn("q_class", _size_class(F.col("size")))
     cells = slim.groupBy("source", "q_class", "q_salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     targets = source_targets(cells, weights, most)
-    along = Window.partitionBy("source").orderBy("q_class", "q_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "q_class", "q_salt", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("q_start"))
+    inside = Window.partitionBy("source", "q_class").orderBy("q_salt").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("source").orderBy("q_class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = cells.groupBy("source", "q_class").agg(F.sum("n").alias("n"))
+    classes = classes.select(F.col("source").alias("q_from"), F.col("q_class").alias("q_of"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("q_before"))
+    within = cells.select("source", "q_class", "q_salt", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("q_inside"))
+    starts = within.join(classes, F.col("source").eqNullSafe(F.col("q_from")) & (F.col("q_class") == F.col("q_of"))).select("source", "q_class", "q_salt", (F.col("q_before") + F.col("q_inside")).alias("q_start"))
     t, s = targets.alias("t"), starts.alias("s")
     placed = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(F.col("s.source").alias("q_source"), F.col("q_class").alias("q_c"), F.col("q_salt").alias("q_s"), "q_start", F.col("source_size").alias("q_size"), F.col("target").alias("q_target"))
-    ranked = sized.withColumn("q_salt", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(SALT))).withColumn("q_class", _size_class(F.col("size")))
+    ranked = sized.withColumn("q_salt", _salt(salts)).withColumn("q_class", _size_class(F.col("size")))
     cell = Window.partitionBy("source", "q_class", "q_salt").orderBy("size", "doc_id", F.xxhash64("text"))
     ranked = ranked.withColumn("q_rank", F.row_number().over(cell))
     joined = ranked.join(placed, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("q_class") == F.col("q_c")) & (F.col("q_salt") == F.col("q_s")))
@@ -90,7 +102,7 @@ MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 cells AS (
-  SELECT *, ((coalesce(doc_id, 0) % {SALT}) + {SALT}) % {SALT} AS salt,
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id, 0)::VARCHAR), 1, 8))::BIGINT % (SELECT greatest({SALT}, ceil(count(*) / {CELL}.0::DOUBLE)::BIGINT) FROM documents) AS salt,
          greatest(length(bin(size)) - 6, 0)::BIGINT * 64 + (size >> greatest(length(bin(size)) - 6, 0)::INTEGER) AS class FROM sized),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
