@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.sources.scratch import materialise
+
 #: Turns of one step of the two-level prefix sums.
 STEP = 256
 
@@ -41,20 +43,25 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """The turns (with place and hashes) of conversations that are no prefix of a longer one; of equal ones the smallest
+    """``conv_id, turn, role, text, n_turns`` of the conversations that are no prefix of a longer one; of equal ones the smallest
     conv_id stays (null before all).  A null conv_id is a conversation of its own."""
-    hashed = prefix_hashes(turns)
+    # written without the texts: they are read three times
+    hashed = materialise(prefix_hashes(turns).select("conv_id", "place", "n_turns", "h1", "h2"), "chat-prefixes")
     last = hashed.where("place = n_turns").groupBy("n_turns", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("first"))
     inner = hashed.where("place < n_turns").select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
-    kept = last.join(inner, ["n_turns", "h1", "h2"], "left_anti").select(F.col("first.conv_id").alias("k"))
-    return hashed.join(kept, F.col("conv_id").eqNullSafe(F.col("k")), "left_semi")
+    kept = last.join(inner, ["n_turns", "h1", "h2"], "left_anti").select(F.col("first.conv_id").alias("k"), "n_turns")
+    return turns.select("conv_id", "turn", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("k"))).drop("k")
 
 
 def render_chats(turns: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, chat``: one row per maximal conversation; each turn is ``<|role|>\\ntext\\n`` (null: empty)."""
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    kept = maximal_conversations(turns).select("conv_id", "n_turns", F.struct("place", line.alias("line")).alias("turn"))
-    lines = F.transform(F.array_sort(F.collect_list("turn")), lambda t: t["line"])
+    """``conv_id, n_turns, chat``: one row per maximal conversation; each turn is ``<|role|>\\ntext\\n`` (null: empty).
+
+    Rows that repeat a turn are turns of their own, in order of role and text; a null turn comes first; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
+    """
+    kept = maximal_conversations(turns).select("conv_id", "n_turns", F.struct("turn", "role", "text").alias("said"))
+    line = lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("\n"))
+    lines = F.transform(F.array_sort(F.collect_list("said")), line)
     return kept.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.array_join(lines, "").alias("chat"))
 
 
