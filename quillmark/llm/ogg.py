@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Samples (bytes) of a packet, and the sample rate that granule positions are counted in.
 PACKET, RATE = 576, 8000
+#: Spans of time whose mean level is a feature.
+BANDS = 8
 FILL = b"\xff"
 _SAMPLES, _NOTES = b"\x80smp8", b"\x80note"
 _HEAD = struct.Struct("<4sBBqIIIB")
@@ -164,14 +166,20 @@ def ogg_column(docs: DataFrame) -> DataFrame:
 
 
 def describe(media: bytes) -> dict:
-    """What is read back from stored bytes."""
+    """What is read back from stored bytes: the payload and what the streams state, and as ``feature`` the pages of both streams,
+    the packets, the last granule position and its time, the samples' sum, greatest value and changes, and the mean level of
+    ``BANDS`` spans of packets (fewer if there are fewer packets)."""
     streams = list(read_ogg(media).values())
     samples = next(s for s in streams if s.packets[0].startswith(_SAMPLES))
     notes = next(s for s in streams if s.packets[0].startswith(_NOTES))
     payload = b"".join(samples.packets[1:])
     times = packet_times(samples)
     wave = np.frombuffer(payload, np.uint8)
-    feature = f"pages={samples.pages + notes.pages};packets={len(times)};granule={samples.granules[-1]};ms={round(times[-1][1] * 1000)};sum={int(wave.sum(dtype=np.int64))};peak={int(wave.max())};steps={int(np.count_nonzero(wave[1:] != wave[:-1]))}"
+    # the mean level of each of BANDS equal spans of the packets, to whole numbers
+    levels = wave.reshape(-1, PACKET).sum(1, dtype=np.int64)
+    spans = np.array_split(levels, min(BANDS, len(levels)))
+    bands = ",".join(str(int(s.sum()) // (len(s) * PACKET)) for s in spans)
+    feature = f"pages={samples.pages + notes.pages};packets={len(times)};granule={samples.granules[-1]};ms={round(times[-1][1] * 1000)};sum={int(levels.sum())};peak={int(wave.max())};steps={int(np.count_nonzero(wave[1:] != wave[:-1]))};bands={bands}"
     return {
         "n_bytes": int(notes.packets[1]), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature,

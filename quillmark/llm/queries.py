@@ -15,6 +15,7 @@ from quillmark.llm.html_extract import extract_pages
 from quillmark.llm.imatch import fingerprints
 from quillmark.llm.jaccard_join import jaccard_components
 from quillmark.llm.ogg import ogg_column, ogg_features
+from quillmark.sources.scratch import materialise
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,7 +46,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg_features(ogg_column(_table(spark, sf_dir, "documents")))
+    # the streams are stored, and what is described is read back from there
+    return ogg_features(materialise(ogg_column(_table(spark, sf_dir, "documents")), "ogg"))
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
