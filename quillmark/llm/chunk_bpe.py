@@ -1,31 +1,42 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut into chunks where a rolling hash over its last bytes says so, always at the end of a word.  A chunk that
-was met before, in whatever document, takes its ids from the chunk cache; a new one is encoded through the finer cache
-of its words.  Joins are then repaired: a join where white space parts the chunks is exact by the tokenizer's own
-pre-tokenizer; around any other join (inside a run without white space that is longer than ``LONGEST``) the ids are
-encoded again from the last exact join to the next one, which is the least that surely agrees with the whole text's ids.
+Texts are cut into chunks where a rolling hash over the last bytes says so, always at the end of a word, so a passage is cut
+alike in whatever document it stands.  Arrow numbers the distinct chunks of a batch of documents, each of them is encoded
+once (``PieceEncoder.encode_many``, whose words are kept over all batches of a Python worker), and the documents' ids are put
+together by the chunks' numbers.  Joins are then repaired: a join where white space parts the chunks is exact by the
+tokenizer's own pre-tokenizer; around any other join (inside a run without white space that is longer than ``LONGEST``)
+the window that is encoded anew is widened, chunk by chunk, until both of its edges are exact joins.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.pieces import encoder
+from quillmark.llm.pieces import encoder, joined_ids
 from quillmark.llm.rolling import gear16
 
-#: Entries of the chunk cache of a Python worker (it starts anew when full) and the longest chunk kept, in bytes.
-CHUNKS, KEPT = 120_000, 400
 #: A word's end is a cut if its 16-bit gear hash is below this: one in ten.
 CUT = 65536 // 10
 #: Characters after which a run without white space is cut all the same.
 LONGEST = 1 << 16
+#: Bytes of texts whose chunks are numbered together.
+SLICE = 1 << 23
+
+
+def _cuts(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where chunks start in the UTF-8 bytes of texts that end at ``edges``: at the texts' starts, and before white space."""
+    blank = (raw == 32) | (raw == 9) | (raw == 10) | (raw == 13)
+    ends = np.flatnonzero(blank[1:] & ~blank[:-1])
+    cuts = ends[gear16(raw)[ends] < CUT] + 1
+    return np.unique(np.concatenate([cuts, edges[:-1][edges[:-1] < len(raw)]]))
 
 
 def chunk_ends(text: str) -> list[int]:
@@ -53,47 +64,64 @@ def chunk_ends(text: str) -> list[int]:
 
 
 class ChunkEncoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit integers, equal to the library's for the whole text."""
+    """``encode_many(texts)``: the ids of whole texts, equal to the library's, and how many each text has."""
 
     def __init__(self, path: str):
         self.pieces = encoder(path)
-        self.cache: dict[str, bytes] = {}
         self.reused = self.made = self.repaired = 0
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.cache.get(chunk)
-        if ids is not None:
-            self.reused += 1
-            return ids
-        ids = self.pieces.encode(chunk)
-        self.made += 1
-        if len(chunk) <= KEPT:
-            if len(self.cache) >= CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = ids
-        return ids
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Nulls are empty texts."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        upto, parts, at = np.cumsum(pc.binary_length(texts).to_numpy()), [], 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+            parts.append(self._slice(texts.slice(at, stop - at)))
+            at = stop
+        if not parts:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pa.concat_arrays([texts])  # its own buffers, from 0 on
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.empty(0, np.uint8)
+        edges = edges - edges[0]
+        starts = _cuts(raw, edges) if len(raw) else np.empty(0, np.int64)
+        cut = np.append(starts, len(raw))
+        first = np.searchsorted(starts, edges)
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(raw)))
+        coded = pc.dictionary_encode(chunks)
+        self.reused += len(chunks) - len(coded.dictionary)
+        self.made += len(coded.dictionary)
+        long = np.unique(np.searchsorted(edges, starts[np.diff(cut) > LONGEST], "right") - 1)
+        known, n_known = self.pieces.encode_many(coded.dictionary)
+        ids, n = joined_ids(known, n_known, coded.indices.to_numpy())
+        upto = np.concatenate([[0], np.cumsum(n)])
+        if not len(long):
+            return ids, np.diff(upto[first])
+        # texts with runs of over LONGEST characters, one by one
+        each = np.split(ids, upto[first[1:-1]])
+        for k in long.tolist():
+            each[k] = np.frombuffer(self.encode(texts[k].as_py()), "<u4")
+        return np.concatenate(each), np.array([len(e) for e in each])
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        """One text's ids as bytes, its joins repaired."""
         out, start, open_at = [], 0, -1
-        for end in chunk_ends(text):
+        for end in chunk_ends(text) if text else []:
             if end < len(text) and text[end] not in " \t\r\n":
-                # an open join: what follows can change the ids on both sides
+                # an open join: what follows can change the ids on both sides, so the window goes on
                 open_at = start if open_at < 0 else open_at
             elif open_at >= 0:
-                out.append(self._repair(text, open_at, end))
+                self.repaired += 1
+                out.append(self.pieces.whole(text[open_at:end]))
                 open_at = -1
             else:
-                out.append(self._chunk(text[start:end]))
+                out.append(self.pieces.encode(text[start:end]))
             start = end
         return b"".join(out)
 
-    def _repair(self, text: str, start: int, end: int) -> bytes:
-        """The ids from the last exact join to the next one, encoded again as one, so that they agree with the whole's."""
-        self.repaired += 1
-        return self.pieces.whole(text[start:end])
-
 
 @lru_cache(maxsize=4)
 def chunk_encoder(path: str) -> ChunkEncoder:
@@ -120,16 +148,18 @@ def decode_ids(path: str, ids: bytes) -> str:
 def bpe_round_trip(docs: DataFrame, tokenizer: str, texts: bool = False) -> DataFrame:
     """Encode and decode every whole ``text``: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` (with ``texts``: also
     ``ids array<int>`` and ``decoded``).  One row per input row, duplicates included; a null text is empty (no ids, empty
-    text); other columns are ignored.  Map-only: no shuffle; the caches of a worker are bounded."""
+    text); other columns are ignored.  Map-only: no shuffle; chunks are shared by the
+    documents of a batch, their words by all batches of a worker (bounded)."""
 
     def run(batches):
         enc = chunk_encoder(tokenizer)
         for batch in batches:
-            docs_, counts, hashes, decoded, more = batch.column(0), [], [], [], []
-            for text in batch.column(1):
-                ids = enc.encode(text.as_py() or "")
+            docs_, hashes, decoded, more = batch.column(0), [], [], []
+            every, counts = enc.encode_many(batch.column(1))
+            upto = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            for a, b in itertools.pairwise(upto):
+                ids = every[a:b].tobytes()
                 back = decode_ids(tokenizer, ids)
-                counts.append(len(ids) // 4)
                 hashes.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
                 if texts:

@@ -230,11 +230,8 @@ class PieceEncoder:
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cut), pa.py_buffer(raw))
         coded = pc.dictionary_encode(words)
         number = self._numbered(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        # the words' ids, one after the other
-        first = np.cumsum(self._lengths) - self._lengths
-        n = self._lengths[number]
+        ids, n = joined_ids(self._ids, self._lengths, number)
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self._ids[np.repeat(first[number] - upto[:-1], n) + np.arange(upto[-1])]
         counts = np.diff(upto[np.searchsorted(starts, edges)])
         if plain.all():
             return ids, counts
@@ -246,6 +243,15 @@ class PieceEncoder:
         return out, both
 
 
+def joined_ids(ids: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of numbered parts (``ids`` has those of all parts in order, ``lengths`` how many each has) one after the other, and
+    how many each of ``number`` has."""
+    first, n = np.cumsum(lengths) - lengths, lengths[number]
+    upto = np.cumsum(n)
+    total = int(upto[-1]) if len(upto) else 0
+    return ids[np.repeat(first[number] - (upto - n), n) + np.arange(total)], n
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker and tokenizer file."""
