@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -12,15 +13,16 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm import chat, imatch, mixing
+from quillmark.llm import chat, imatch, jaccard_join, mixing
 from quillmark.llm.bitplanes import read_ids, write_ids
 from quillmark.llm.chunk_bpe import bpe_round_trip
 from quillmark.llm.chunk_dedup import dedup_substrings
 from quillmark.llm.graph import components
 from quillmark.llm.html_extract import extract_pages
-from quillmark.llm.jaccard_join import jaccard_components
+from quillmark.llm.jaccard_join import jaccard_components, jaccard_survivors
 from quillmark.llm.ogg import ogg_column, ogg_features
 from quillmark.llm.queries import tokenizer_path
+from quillmark.llm.rolling import _GEAR16
 from quillmark.llm.toxicity import Model, score_toxicity, train
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,6 +84,48 @@ def test_jaccard_equals_brute_force(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_in_blocks_and_with_torn_names(docs, monkeypatch):
+    want = sorted(map(tuple, jaccard_components(docs).collect()), key=repr)
+    monkeypatch.setattr(jaccard_join, "HELD", 2)  # every tile of three and more sets is parted
+    assert sorted(map(tuple, jaccard_components(docs).collect()), key=repr) == want
+    plain, seeds = jaccard_join._profile, []
+
+    def torn(table, seed):
+        seeds.append(seed)
+        out = plain(table, seed)
+        return out if seed else out.withColumn("sig", F.when(F.col("n") > 0, 7))
+
+    monkeypatch.setattr(jaccard_join, "_profile", torn)
+    assert sorted(map(tuple, jaccard_components(docs).collect()), key=repr) == want and seeds == [0, 1]
+
+
+def test_survivors_with_null_and_repeated_ids(spark, docs, empty):
+    base, other, third = prose(60), prose(60), prose(40)
+    near = base + " " + prose(1)
+    data = [
+        (None, near, "a"), (None, other, "b"), (None, "", "c"), (None, None, "c"),  # a near copy without an id takes no other such row along
+        (5, base, "a"), (5, base, "z"), (5, third, "d"), (5, near, "a"),  # nor does a repeated id; rows alike in both are one
+        (7, third, "d"), (8, "", "e"), (8, "", "e"), (9, prose(30), "f"),
+    ]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("key", F.lit("x")).withColumn("sig", F.lit(1)).repartition(3)
+    got = jaccard_survivors(table)
+    assert got.columns == table.columns
+    kept = sorted(((r["doc_id"], r["text"], r["source"]) for r in got.collect()), key=repr)
+    first = [r for r in kept if r[1] in (base, near)]
+    assert len(first) == 1 and first[0][0] == 5 and first[0][2] == "a"
+    rest = [(None, other, "b"), (None, "", "c"), (None, None, "c"), (5, third, "d"), (8, "", "e"), (8, "", "e"), data[-1]]
+    assert [r for r in kept if r not in first] == sorted(rest, key=repr)
+    assert jaccard_survivors(empty).count() == 0
+    # by brute force on the large fixture: one row of every component of texts with words, all others
+    rows_ = [(r["doc_id"], r["text"]) for r in jaccard_survivors(docs).collect()]
+    found = jaccard_components(docs).collect()
+    blank = sum(r["n_shingles"] == 0 for r in found)
+    assert sum(not shingles(t) for _, t in rows_) == blank
+    texts = [shingles(t) for _, t in rows_ if shingles(t)]
+    assert not any(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(texts) for b in texts[:i])
+    assert {r["component_id"] for r in found if r["n_shingles"] and r["component_id"] is not None} <= {d for d, _ in rows_}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70), (None, 3), (-5, 60)], "a long, b long")
     got = dict(map(tuple, components(links).collect()))
@@ -128,7 +172,7 @@ def test_ogg(docs, empty):
     assert ogg_features(ogg_column(docs.limit(1)).withColumn("media", F.lit(None).cast("binary"))).first()["n_bytes"] is None
 
 
-def test_mixing_equals_sql(spark, docs, empty, tmp_path):
+def test_mixing_equals_sql(spark, docs, empty, tmp_path, monkeypatch):
     table = docs.select("doc_id", "text", "lang", "source", "n_chars")
     con = duckdb.connect()
     table.coalesce(1).write.parquet(f"{tmp_path}/d")
@@ -138,6 +182,10 @@ def test_mixing_equals_sql(spark, docs, empty, tmp_path):
     got = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "copies", "taken").collect()
     want = con.execute(mixing.MIX_SQL).fetchall()
     assert sorted(map(key, got)) == sorted(map(key, want))
+    monkeypatch.setattr(mixing, "CELL", 3)
+    monkeypatch.setattr(mixing, "SALT", 1)
+    some = mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 2 * r["most"] for r in some)
     assert mixing.mix_sources(empty).count() == 0 and mixing.mix_sources(docs).columns[-5:] == ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -184,6 +232,61 @@ def test_imatch(docs, empty):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def test_imatch_equals_brute_force(spark, monkeypatch):
+    """Lexicon, fingerprints, next rows and likeness against plain Python over the terms' hashes."""
+    monkeypatch.setattr(imatch, "LOW_IDF", imatch.math.log(3))
+    shared = [f"w{i}" for i in range(60)]
+    data = [(i * i if i % 9 else None, " ".join(R.sample(shared, R.randint(0, 25)) + [f"own{i}"] + ["the"])) for i in range(120)] + [(10**12, "the"), (10**12, "the w1"), (4, "w1 w2"), (10**15, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    words = {w for _, t in data for w in (t or "").split()}
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").withColumn("h", F.xxhash64("w")).collect()}
+    text_hash = {r["w"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in data], "w string").withColumn("h", F.xxhash64("w")).collect()}
+    df_of = {w: sum(w in (t or "").split() for _, t in data) for w in words}
+    low, high = imatch.math.log(3), imatch.HIGH_IDF
+    band = {w for w in words if df_of[w] >= imatch.LEAST and low <= imatch.math.log(len(data) / df_of[w]) <= high}
+    assert band and "the" not in band and not any(w.startswith("own") for w in band)
+    assert {r["term"] for r in imatch.lexicon(df, low, high).collect()} == {hashes[w] for w in band}
+    ordered = sorted(((d, t or "") for d, t in data), key=lambda r: (r[0] is not None, r[0] or 0, text_hash[r[1]]))
+
+    def parts(text):
+        kept = sorted(hashes[w] for w in set(text.split()) if w in band)
+        out = []
+        for rate in imatch.RATES:
+            for k in range(imatch.PARTS):
+                out.append(tuple(h for h in kept if (h >> 24) % rate == 0 and (h >> 34) % imatch.PARTS == k))
+        return out
+
+    def likeness(x, y):
+        best = None
+        for i in range(len(imatch.RATES)):
+            pairs = [(a, b) for a, b in zip(x[i * imatch.PARTS :][: imatch.PARTS], y[i * imatch.PARTS :][: imatch.PARTS], strict=True) if a or b]
+            if pairs and (not i or len(pairs) >= imatch.ENOUGH):
+                best = max(best or 0, sum(a == b for a, b in pairs) / len(pairs))
+        return 1.0 if best is None else best
+
+    for largest, range_ in ((imatch.LARGEST, 3), (0, 2000)):  # looked up, and joined; many ranges, and one
+        monkeypatch.setattr(imatch, "RANGE", range_)
+        monkeypatch.setattr(imatch.Lexicon.__init__, "__defaults__", (largest,))
+        monkeypatch.setattr(imatch.lexicon, "__defaults__", (low, high, imatch.LEAST))
+        got = imatch.fingerprints(df).collect()
+        want = []
+        for i, (doc, text) in enumerate(ordered):
+            nxt = ordered[(i + 1) % len(ordered)][1]
+            cut = len(text) // 4
+            want.append((doc, len(text), hashlib.sha256((text[: len(text) - cut] + nxt[:cut]).encode()).hexdigest(), likeness(parts(text), parts(nxt))))
+        assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"]) for r in got), key=repr) == sorted(want, key=repr)
+        # a fingerprint's subsets are empty, and equal, just where the plain ones are
+        text_of = {(d, len(t)): t for d, t in ordered}
+        seen = {}
+        for r in got:
+            own = parts(text_of[r["doc_id"], r["n_chars"]]) if [x[0] for x in ordered].count(r["doc_id"]) == 1 else None
+            if own:
+                assert [x == "-" for x in r["fingerprint"].split(".")] == [not x for x in own]
+                for k, (x, y) in enumerate(zip(r["fingerprint"].split("."), own, strict=True)):
+                    assert seen.setdefault((k, y), x) == x
+        assert len(set(seen.values())) >= 0.9 * len({y for _, y in seen})
+
+
 def test_substring_dedup(spark, docs, empty):
     passage = prose(70)
     data = [(1, f"{prose(60)} {passage} {prose(60)}"), (2, f"{prose(90)}\n{passage}\n{prose(30)}"), (3, prose(200)), (4, None), (5, "")]
@@ -202,6 +305,54 @@ def test_substring_dedup(spark, docs, empty):
     assert dedup_substrings(empty).count() == 0
 
 
+def plain_chunks(text):
+    """Words' spans and chunks of a text, by the definition: cuts after words whose gear hash is a local minimum."""
+    raw = (text or "").encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    hashes = []
+    for _, end in spans:
+        h = 0
+        for b in raw[max(0, end - 16) : end]:
+            h = (h * 2 + int(_GEAR16[b])) % 65536
+        # before a text stand blanks
+        hashes.append((h + sum(int(_GEAR16[32]) << k for k in range(min(end, 16), 16))) % 65536)
+    cuts = [i for i, h in enumerate(hashes) if all(h < x for x in hashes[max(0, i - 2) : i]) and all(h <= x for x in hashes[i + 1 : i + 3])]
+    edges = [0, *[c + 1 for c in cuts if c + 1 < len(spans)], len(spans)]
+    return raw, spans, [(a, b) for a, b in itertools.pairwise(edges) if a < b]
+
+
+def test_substring_dedup_equals_brute_force(spark, docs):
+    passages = [prose(n) for n in (20, 40, 60, 90)]
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    data += [(100 + i if i % 5 else None, " ".join([prose(R.randint(0, 40)), R.choice(passages), prose(R.randint(0, 40)), R.choice(passages), prose(R.randint(0, 9))]).replace("  ", " ")) for i in range(60)]
+    data += [(2**63 - 1, prose(20) + " " + passages[3]), (-4, passages[2])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    key = {(r["doc_id"], r["text"]): r["k"] for r in df.withColumn("k", F.xxhash64("doc_id", "text")).collect()}
+    first = {}
+    for d, t in sorted(set(data), key=lambda r: (r[0] is None, r[0] or 0, key[r])):
+        raw, spans, parts = plain_chunks(t)
+        for k, (a, b) in enumerate(parts):
+            first.setdefault(tuple(raw[s:e] for s, e in spans[a:b]), (d, t, k))
+    want = []
+    for d, t in data:
+        raw, spans, parts = plain_chunks(t)
+        again = [first[tuple(raw[s:e] for s, e in spans[a:b])] != (d, t, k) for k, (a, b) in enumerate(parts)]
+        at, removed, out, k = 0, 0, b"", 0
+        while k < len(parts):
+            stop = k
+            while stop < len(parts) and again[stop]:
+                stop += 1
+            n = sum(b - a for a, b in parts[k:stop])
+            if n >= 24:
+                out += raw[at : spans[parts[k][0]][0]]
+                at = spans[parts[stop][0]][0] if stop < len(parts) else len(raw)
+                removed += n
+            k = max(stop, k + 1)
+        want.append((d, None if t is None else (out + raw[at:]).decode(), removed))
+    got = [(r["doc_id"], r["text"], r["removed_words"]) for r in dedup_substrings(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(r[2] > 0 for r in want) > 40
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     data = [(i, prose(30) + (" you MORON!" if i % 2 else " hello")) for i in range(200)] + [(500, None)]
@@ -213,6 +364,9 @@ def test_toxicity(spark, docs, empty):
     assert out.columns == [c for c in docs.columns if c != "score"] + ["score", "predicted"] and out.where("predicted = 1").count() == 2
     assert score_toxicity(empty, model).count() == 0
     assert train(docs, labels.limit(0)).score("x") < 0.5
+    # of rows that repeat a doc_id one is learned from, whatever their order
+    twice = spark.createDataFrame([*data, *[(i, "z " + t) for i, t in data[:200]]], "doc_id long, text string")
+    assert train(twice.repartition(5), labels).weights == train(twice.repartition(2), labels).weights == model.weights
 
 
 def test_chats(spark):
@@ -223,6 +377,10 @@ def test_chats(spark):
     assert set(got) == {2, 3, 5, 6, 8, None} and got[8]["n_turns"] == 600
     assert got[2]["chat"] == "<|user|>\na\n<|assistant|>\nb\n<|user|>\nc\n"
     assert chat.render_chats(df.limit(0)).count() == 0
+    # repeated rows are turns of their own, nulls come first, and names that clash do no harm
+    odd = [(1, 1, "b", "y"), (1, 1, "b", "y"), (1, 1, None, "z"), (1, None, "a", None), (1, 1, "a", "x")]
+    again = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("q")).withColumn("h1", F.lit(1)).repartition(3)
+    assert [tuple(r) for r in chat.render_chats(again).collect()] == [(1, 5, "<|a|>\n\n<||>\nz\n<|a|>\nx\n<|b|>\ny\n<|b|>\ny\n")]
 
 
 def test_pages(spark):
