@@ -5,7 +5,9 @@ terms are sorted and dealt, by a hash of the term, to ``PARTS`` lexicon subsets
 subset's terms are hashed together.  An edit changes the hashes of the few subsets that hold a changed term.
 
 A band from below bounds the lexicon: at most (distinct terms of a text) / (least share of texts) terms can lie in it,
-however large the corpus, so its bitmap is a bounded literal and no text is shuffled for the lookup.
+however large the corpus.  Up to ``LARGEST`` terms go with the plan as a literal hash table, so that no text is shuffled for
+the lookup: a bitmap answers for most terms outside the band, and the terms' whole hashes, in buckets, for the rest.  A
+larger lexicon is joined with the texts' terms instead.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from quillmark.sources.scratch import materialise, release
 LOW_IDF, HIGH_IDF, LEAST = math.log(12), math.log(2500), 2
 #: Subsets at a rate, and the rates: a text's term is used at rate r with probability 1/r.
 PARTS, RATES = 10, (2, 8, 32, 128)
-#: Subsets that must hold terms of either text before a rate counts, and bits of the filter for each lexicon term.
-ENOUGH, BITS = 5, 128
+#: Subsets that must hold terms of either text before a rate counts.
+ENOUGH = 5
+#: Most terms of a literal lexicon, bits of its bitmap for each term, and terms of a bucket of its table (2 to 4 on average).
+LARGEST, BITS, LOAD = 1 << 20, 32, 4
+#: Rows of a range of ids, and most values that a range is searched among at each of two levels.
+RANGE, FAN = 2000, 200
 #: White space, as in a word's definition.
 _BLANKS = " \t\n\x0b\f\r"
 
@@ -42,34 +48,66 @@ def lexicon(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF, least
     return counts.where(F.col("df") >= least).crossJoin(F.broadcast(total)).where((idf >= low) & (idf <= high)).select("term", "df")
 
 
-def lexicon_bitmap(lexicon_: DataFrame) -> tuple[str, int]:
-    """The lexicon as a bitmap of hash buckets: 64-bit words joined by commas and the number of bits (a power of two).  Of the
-    terms outside the lexicon about one in ``BITS`` passes too, the same ones everywhere."""
-    lexicon_ = materialise(lexicon_.select("term"), "imatch-lexicon")  # counted and read: the corpus is gone through once
-    n = lexicon_.count()
-    bits = 1 << max(10, (BITS * max(n, 1) - 1).bit_length())
-    probes = lexicon_.select(F.col("term").bitwiseAND(F.lit(bits - 1)).alias("bit"))
-    words = probes.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("word"))
-    filled = [0] * (bits // 64)
-    for row in words.toLocalIterator():
-        filled[row["at"]] = row["word"]
-    release(lexicon_)
-    return ",".join(map(str, filled)), bits
-
-
-def with_fingerprint(docs: DataFrame, text: str, out: str, filter_words: str, bits: int) -> DataFrame:
+class Lexicon:
+    """A lexicon ``term`` that texts are looked up in."""
+
+    def __init__(self, terms: DataFrame, largest: int = LARGEST):
+        self.terms = materialise(terms.select("term"), "imatch-lexicon")  # the corpus is gone through once
+        n = self.terms.count()
+        self.literal = n <= largest
+        if not self.literal:
+            return
+        self.bits = 1 << max(10, (BITS * max(n, 1) - 1).bit_length())
+        self.buckets = 1 << max(0, (n // LOAD).bit_length())
+        bit = self.terms.select(F.col("term").bitwiseAND(F.lit(self.bits - 1)).alias("bit"))
+        words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("word"))
+        place = Window.partitionBy("bucket").orderBy("term")
+        slots = self.terms.select("term", F.shiftright("term", 40).bitwiseAND(F.lit(self.buckets - 1)).alias("bucket")).withColumn("slot", F.row_number().over(place) - 1)
+        rows = slots.toArrow()
+        self.depth = max([1, *(x + 1 for x in rows.column("slot").to_pylist())])
+        table = [0] * (self.buckets * self.depth)
+        for term, bucket, slot in zip(*(rows.column(c).to_pylist() for c in ("term", "bucket", "slot")), strict=True):
+            table[bucket * self.depth + slot] = term
+        filled = [0] * (self.bits // 64)
+        for row in words.toLocalIterator():
+            filled[row["at"]] = row["word"]
+        self.bitmap, self.table = ",".join(map(str, filled)), ",".join(map(str, table))
+        release(self.terms)
+
+    def kept(self, docs: DataFrame, text: str, out: str) -> DataFrame:
+        """``docs`` with the sorted hashes of a text's distinct lexicon terms as ``out``."""
+        return self._looked_up(docs, text, out) if self.literal else self._joined(docs, text, out)
+
+    def _looked_up(self, docs: DataFrame, text: str, out: str) -> DataFrame:
+        # Constants that the optimizer folds into literals.
+        words, table = (F.split(F.lit(x), ",").cast("array<bigint>") for x in (self.bitmap, self.table))
+
+        def known(h: Column) -> Column:
+            at = F.shiftright(h, 6).bitwiseAND(F.lit(self.bits // 64 - 1)).cast("int")
+            return F.call_function("bit_get", F.get(words, at), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        def surely(h: Column) -> Column:
+            # the bucket's slots; the table stands here once, as every mention of it is a copy in the plan
+            first = F.shiftright(h, 40).bitwiseAND(F.lit(self.buckets - 1)) * self.depth
+            return F.array_contains(F.slice(table, first.cast("int") + 1, F.lit(self.depth)), h) & (h != 0)  # an empty slot holds 0
+
+        return docs.withColumn(out, F.array_sort(F.filter(F.filter(term_hashes(text), known), surely)))
+
+    def _joined(self, docs: DataFrame, text: str, out: str) -> DataFrame:
+        keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+        keyed = docs.withColumn("q_k1", keys[0]).withColumn("q_k2", keys[1])
+        each = keyed.select("q_k1", "q_k2", F.explode(term_hashes(text)).alias("term")).distinct()
+        found = each.join(self.terms, "term").groupBy("q_k1", "q_k2").agg(F.array_sort(F.collect_list("term")).alias(out))
+        nothing = F.array().cast("array<bigint>")
+        return keyed.join(found, ["q_k1", "q_k2"], "left").withColumn(out, F.coalesce(out, nothing)).drop("q_k1", "q_k2")
+
+
+def with_fingerprint(docs: DataFrame, text: str, out: str, lexicon_: Lexicon) -> DataFrame:
     """``docs`` with an array of the hashes of all subsets, rate by rate; null where a subset holds none of the text's terms.
 
     In steps: an expression that stands inside a lambda would be computed anew for every element.
     """
-    # A constant that the optimizer folds into one literal.
-    words = F.split(F.lit(filter_words), ",").cast("array<bigint>")
-
-    def known(h: Column) -> Column:
-        at = F.shiftright(h, 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
-        return F.call_function("bit_get", F.get(words, at), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    found = docs.withColumn("q_terms", F.array_sort(F.filter(term_hashes(text), known)))
+    found = lexicon_.kept(docs, text, "q_terms")
     for i, rate in enumerate(RATES):
         found = found.withColumn(f"q_own{i}", F.expr(f"filter(q_terms, h -> pmod(shiftright(h, 24), {rate}) = 0)"))
     nothing = F.xxhash64(F.array().cast("array<bigint>"))
@@ -105,22 +143,32 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``next_<c>`` for each column: the values of the next row by (doc_id, text's hash);
     the last row's next is the first row.
 
-    Rows are cut into at most 10,000 id ranges of equal width; every range also gets the first row of the next one (a
-    broadcast of one id a range), so the window runs inside a range and no global sort is needed.
+    Rows are cut into ranges of about ``RANGE`` rows at quantiles of the ids (up to ``FAN * FAN`` ranges, longer ones beyond that),
+    rows without an id, which come first, by their texts' hash; every range also gets the first row of the next one (a
+    broadcast of one row a range), so the window runs inside a range and no global sort is needed.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    ranges = max(1, min(10_000, n // 2000))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    at = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    placed = docs.withColumn("q_range", at)
-    firsts = placed.groupBy("q_range").agg(F.min("doc_id").alias("q_first"))
+    n = docs.where("doc_id is not null").count()
+    side = min(FAN, max(1, math.isqrt(n // RANGE)))
+    shares = [k / side**2 for k in range(1, side**2)]
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, 20 * side**2)).first()[0] if n and shares else []
+    bounds = sorted(bounds or [])
+    # two levels: of every ``side`` bounds the last, then those before it; a literal is made of a string at once
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
+    hash_ = F.xxhash64("text")
+    parts = F.floor((hash_ / F.lit(2.0**64) + 0.5) * 256).cast("long") - 257  # in the hashes' order, below all ranges of ids
+    placed = docs.withColumn("q_hash", hash_).withColumn("q_block", upto(longs(bounds[side - 1 :: side])))
+    inner = F.slice(longs(bounds), F.col("q_block") * side + 1, F.lit(side - 1))
+    at = F.when(F.col("doc_id").isNull(), parts).otherwise(F.col("q_block") * side + upto(inner))
+    placed = placed.withColumn("q_range", at.cast("long")).drop("q_block")
+    firsts = placed.groupBy("q_range").agg(F.min(F.struct("doc_id", "q_hash")).alias("q_first"))
     chain = Window.orderBy("q_range")
     last = F.max("q_range").over(Window.partitionBy())
-    firsts = firsts.select("q_first", F.col("q_range").alias("q_own"), F.coalesce(F.lag("q_range").over(chain), last).alias("q_before"))
-    sent = placed.join(F.broadcast(firsts), (F.col("q_range") == F.col("q_own")) & F.col("doc_id").eqNullSafe(F.col("q_first")), "left")
+    firsts = firsts.select(F.col("q_first.doc_id").alias("q_id"), F.col("q_first.q_hash").alias("q_text"), F.col("q_range").alias("q_own"), F.coalesce(F.lag("q_range").over(chain), last).alias("q_before"))
+    sent = placed.join(F.broadcast(firsts), (F.col("q_range") == F.col("q_own")) & F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_text")), "left")
     copies = F.array(F.struct(F.col("q_range").alias("r"), F.lit(0).alias("guest")), F.struct(F.col("q_before").alias("r"), F.lit(1).alias("guest")))
     dealt = sent.withColumn("q_to", F.explode(F.filter(copies, lambda c: c["r"].isNotNull())))
-    order = Window.partitionBy("q_to.r").orderBy("q_to.guest", "doc_id", F.xxhash64("text"))
+    order = Window.partitionBy("q_to.r").orderBy("q_to.guest", "doc_id", "q_hash")
     out = dealt.select(*docs.columns, F.col("q_to.guest").alias("q_guest"), *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return out.where("q_guest = 0").drop("q_guest")
 
@@ -133,13 +181,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     empty; equal texts have equal fingerprints; other columns are ignored; an empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    filter_words, bits = lexicon_bitmap(lexicon(slim))
-    own = with_fingerprint(slim, "text", "fp", filter_words, bits)
+    terms = Lexicon(lexicon(slim))
+    own = with_fingerprint(slim, "text", "fp", terms)
     paired = with_next(own, ["text", "fp"])
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
-    done = with_fingerprint(paired.withColumn("edited", edited), "edited", "edited_fp", filter_words, bits)
+    done = with_fingerprint(paired.withColumn("edited", edited), "edited", "edited_fp", terms)
     return done.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
