@@ -4,14 +4,16 @@ Two texts link when ``100 * |A & B| >= 75 * |A | B|`` over their sets of distinc
 
 1. Every text's set is hashed; equal sets form one class, named by 64 bits of the set's hash.  64 further bits are compared,
    and should two classes ever share a name, all is named anew with another seed.  A sketch of fixed size counts shingles
-   over all texts, and marks as common the few buckets far above the mean.
-2. The index's directory: a set is filed under its first ``n // 4 + 1`` shingles, common ones last.  Sets that link share
-   one of these (no link is lost, whatever the order), and a passage in very many texts files next to none of them.
+   over all texts; how far a bucket is above what rare shingles make it, in steps of a power of two, is its level.
+2. The index's directory: a set is filed under its first ``n // 4 + 1`` shingles, by level.  Sets that link share one of
+   these (no link is lost, whatever the order), and a passage in very many texts files next to none of them.  The level of
+   what is in many texts does not depend on the size of the input, so tiles do not grow with it.
 3. The sets filed under one shingle form a tile; equal tiles are kept once.  A tile's first set seeds its search: the points
    of the sets that meet this leader most often make an R-tree, which is searched with the leader's point, and what it
    finds is verified.  So a group of near copies is joined by one comparison a member.
 4. In every tile that still has different components, an R-tree over the group counts finds the pairs whose summed
-   coordinate minima admit a link (nodes of a single component are skipped), and those pairs are verified.
+   coordinate minima admit a link (nodes of a single component are skipped), and those pairs are verified: first the
+   likeliest pair of any two components, then, in the tiles where such a pair did not link, every pair.
 
 All pairs that are verified come from an R-tree.  Only links between different components are ever looked for, so a group
 of k near copies costs about k comparisons.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,9 @@ from quillmark.llm.rolling import _mix
 from quillmark.llm.shingles import raw_texts, shingle_sets
 from quillmark.sources.scratch import materialise, release, tidy
 
-#: Counters of the sketch, in blocks; a bucket is common from ``FLOOR + TIMES * mean`` on, so at most 1/TIMES are.
-WIDTH, STRIPE, FLOOR, TIMES = 1 << 22, 1 << 12, 64, 8
+#: Counters of the sketch, in blocks; counts up to ``SPREAD`` standard deviations above the mean have level 0, and from there
+#: ``STEPS`` levels double ``1 + count / UNIT``.
+WIDTH, STRIPE, SPREAD, UNIT, STEPS = 1 << 22, 1 << 12, 4, 8, 2
 #: Sets of one tile, or of one leader, that a task holds at once: larger tiles are joined block by block.
 HELD = 20_000
 
@@ -75,10 +79,10 @@ def _profile(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n long, sig long, proof long, stripe int, counts binary")
 
 
-def _common(profile: DataFrame) -> np.ndarray:
-    """The sketch's common buckets as a bitmap of WIDTH bits (its size does not grow with the input)."""
-    total = profile.agg(F.sum("n")).first()[0] or 0
-    least = FLOOR + TIMES * total / WIDTH
+def _levels(profile: DataFrame) -> bytes:
+    """The level of each of the sketch's WIDTH buckets, a compressed byte each (the size does not grow with the input)."""
+    mean = (profile.agg(F.sum("n")).first()[0] or 0) / WIDTH
+    usual = mean + SPREAD * mean**0.5
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -87,31 +91,32 @@ def _common(profile: DataFrame) -> np.ndarray:
                 row = np.frombuffer(data, "<u4").astype(np.int64)
                 sums[k] = sums[k] + row if k in sums else row
         for k, row in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array((np.flatnonzero(row >= least) + k * STRIPE).astype(np.int32))], ["bucket"])
+            level = np.ceil(STEPS * np.log2(1 + np.maximum(0, row - usual) / UNIT)).astype(np.uint8)
+            if level.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["stripe", "level"])
 
-    hot = profile.where("stripe is not null").select("stripe", "counts").repartition("stripe").mapInArrow(run, "bucket int").toArrow().column(0).to_numpy()
-    flags = np.zeros(WIDTH, bool)
-    flags[hot] = True
-    return np.packbits(flags, bitorder="little")
+    found = profile.where("stripe is not null").select("stripe", "counts").repartition("stripe").mapInArrow(run, "stripe int, level binary").toArrow()
+    levels = np.zeros((WIDTH // STRIPE, STRIPE), np.uint8)
+    for k, data in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        levels[k] = np.frombuffer(data, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(levels.tobytes())
 
 
-def _filed(docs: DataFrame, bitmap: np.ndarray, seed: int) -> DataFrame:
-    """``h, sig``: every set under its first ``n // 4 + 1`` shingles, common ones last, each part in order of the hash.  A task
-    files equal sets once."""
+def _filed(docs: DataFrame, packed: bytes, seed: int) -> DataFrame:
+    """``h, sig``: every set under its first ``n // 4 + 1`` shingles by level, each level in order of the hash.  A task files
+    equal sets once."""
 
     def run(batches):
-        known: set[int] = set()
+        levels, known = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8), set()
         for batch in batches:
             hs, sigs = [], []
             for s in shingle_sets(raw_texts(batch.column(0))):
                 sig = _signature(s, seed)
                 if len(s) and sig not in known:
                     known.add(sig)
-                    bucket = (s & np.uint64(WIDTH - 1)).astype(np.int64)
-                    hot = (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 > 0
+                    level = levels[(s & np.uint64(WIDTH - 1)).astype(np.int64)]
                     first = len(s) // 4 + 1
-                    cold = s[~hot][:first]
-                    hs.append(cold if len(cold) == first else np.concatenate([cold, s[hot][: first - len(cold)]]))
+                    hs.append(s[np.argsort(level, kind="stable")[:first]])
                     sigs.append(np.full(first, sig))
                 if len(hs) >= 500:
                     yield _rows(hs, sigs)
@@ -253,7 +258,7 @@ def _blocks(labelled: DataFrame) -> DataFrame:
 
 
 def _candidates(tiles: DataFrame, best: bool) -> DataFrame:
-    """``a, b``: by R-tree in each tile of ``tile, low, high, sig, label, n, cv``, pairs of different labels that may link
+    """``tile, a, b``: by R-tree in each tile of ``tile, low, high, sig, label, n, cv``, pairs of different labels that may link
     (``best``: of any two labels the likeliest one)."""
 
     def run(batches):
@@ -261,22 +266,30 @@ def _candidates(tiles: DataFrame, best: bool) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != tile:
-                    yield from _joined(rows)
+                    yield from _joined(tile, rows)
                     tile, rows = row[:3], []
                 rows.append(row[3:])
-        yield from _joined(rows)
+        yield from _joined(tile, rows)
 
-    def _joined(rows):
+    def _joined(tile, rows):
         if len(rows) < 2:
             return
         _, labels = np.unique([r[1] for r in rows], return_inverse=True)
         sig = np.array([r[0] for r in rows])
         i, j = rtree.join([rtree.counts_of(r[3]) for r in rows], np.array([r[2] for r in rows]), labels, best)
         if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(sig[i], sig[j])), pa.array(np.minimum(sig[i], sig[j]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tile[0])), pa.array(np.maximum(sig[i], sig[j])), pa.array(np.minimum(sig[i], sig[j]))], ["tile", "a", "b"])
 
     place = ("tile", "low", "high")
-    return tiles.select(*place, "sig", "label", "n", "cv").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+    return tiles.select(*place, "sig", "label", "n", "cv").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "tile long, a long, b long")
+
+
+def _apart(tried: DataFrame, groups: DataFrame) -> DataFrame:
+    """``tile`` of the rows ``tile, a, b`` of ``tried`` whose ends are in different components."""
+    name = groups.select(F.col("node").alias("s"), "root")
+    for end in ("a", "b"):
+        tried = tried.join(name, tried[end] == name["s"], "left").withColumn(end, F.coalesce("root", end)).drop("s", "root")
+    return tried.where("a <> b").select("tile").distinct()
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -295,7 +308,7 @@ def _resolved(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key, n, sig`` of every row of ``docs(doc_id, key, text)``, and ``sig, first`` for the sets that several rows have
     or that link with others: the row of the component (a struct that sorts) with the smallest doc_id, null last, then key."""
     profile = materialise(_profile(docs, seed), "jaccard-profile")
-    bitmap = _common(profile)
+    levels = _levels(profile)
     rows = materialise(profile.where("stripe is null").select("doc_id", "key", "n", "sig", "proof"), "jaccard-rows")
     release(profile)
     counted = rows.where("n > 0").groupBy("sig").agg(F.min(_place()).alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("times"), (F.min("proof") != F.max("proof")).alias("torn"))
@@ -304,7 +317,7 @@ def _resolved(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
         release(rows, classes)
         return _resolved(docs, seed + 1)
 
-    found = materialise(_tiles(_filed(docs, bitmap, seed)), "jaccard-tiles")
+    found = materialise(_tiles(_filed(docs, levels, seed)), "jaccard-tiles")
     tidy(docs.sparkSession)
     tiles = found.where("kind = 0").select(F.col("x").alias("tile"), F.col("y").alias("sig")).distinct()
     filed = found.where("kind = 0").select(F.col("y").alias("sig")).distinct()
@@ -320,19 +333,24 @@ def _resolved(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     groups = materialise(components(links, "jaccard-leaders"), "jaccard-groups")
     release(near, links)
     tidy(docs.sparkSession)
-    # Twice: first the likeliest pair of any two components in a tile, then every pair of components that are still apart.
+    # Twice: first the likeliest pair of any two components in a tile, then every pair of components that are still apart.  Two
+    # components of which a tile has no likeliest pair have none at all in it, and components only grow, so the second search
+    # goes to the tiles with a first pair that is still apart.
     for likeliest in (True, False):
         labelled = tiles.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("tile", "sig", F.coalesce("root", "sig").alias("label"))
         labelled = materialise(labelled, "jaccard-labelled")
         sized = _blocks(labelled).join(texts.select("sig", "n"), "sig")
         searched = _fitting(sized).join(texts.select("sig", "cv"), "sig")
-        pairs = materialise(_candidates(searched, likeliest).distinct(), "jaccard-pairs")
+        pairs = materialise(_candidates(searched, likeliest), "jaccard-pairs")
         tidy(docs.sparkSession)
-        late = materialise(_linked(pairs, texts), "jaccard-late")
+        late = materialise(_linked(pairs.select("a", "b").distinct(), texts), "jaccard-late")
         before, groups = groups, materialise(_merged(groups, late), "jaccard-groups")
+        if likeliest:
+            left = materialise(_apart(pairs, groups), "jaccard-left")
+            tiles = tiles.join(left, "tile", "left_semi")
         release(before, labelled, pairs, late)
         tidy(docs.sparkSession)
-    release(found, texts)
+    release(found, texts, left)
 
     # The smallest doc_id of a component comes to its classes first, so no join has a component's rows under one key.
     named = classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").where("times > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least")

@@ -84,6 +84,28 @@ def test_jaccard_equals_brute_force(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_tiles_do_not_grow_with_shared_passages(spark, monkeypatch):
+    import random
+
+    # a passage in 60 texts files none of them together, and once the near copies are joined no tile is searched again
+    words, passage = random.Random(3), " ".join(f"shared{i}" for i in range(20))
+    texts = [" ".join(f"w{words.randrange(10**9)}" for _ in range(60)) + " " + passage for _ in range(60)]
+    texts += [t + " more" for t in texts[:5]]
+    kept, write = {}, jaccard_join.materialise
+
+    def noted(df, label):
+        kept.setdefault(label, []).append((out := write(df, label)).toPandas())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", noted)
+    rows = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - 60 if i >= 60 else i for i in range(65)}
+    tiles = kept["jaccard-tiles"][0].query("kind == 0").drop_duplicates(["x", "y"])
+    assert 0 < tiles.groupby("x").size().max() <= 2
+    first, second = kept["jaccard-labelled"]
+    assert len(first) > 0 and len(second) == 0
+
+
 def test_jaccard_in_blocks_and_with_torn_names(docs, monkeypatch):
     want = sorted(map(tuple, jaccard_components(docs).collect()), key=repr)
     monkeypatch.setattr(jaccard_join, "HELD", 2)  # every tile of three and more sets is parted
